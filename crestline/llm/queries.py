@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, mixing, packing, toxicity
+from . import exact_dedup, jaccard, mixing, packing, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document, for four-word shingles and a similarity of 0.85."""
+    return jaccard.jaccard_components(_table(spark, sf_dir, "documents").select("doc_id", "text"), k=4, num=85, den=100)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every document."""
     found = exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -55,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity": op1_toxicity,
         "op2_mixing": op2_mixing,
         "op3_packing": op3_packing,
+        "op4_ngram_jaccard": op4_ngram_jaccard,
         "op5_exact_dedup": op5_exact_dedup,
     }
 
