@@ -97,7 +97,8 @@ def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """(row, id, keep_id, group_size, kept, text_sha256) of each row of ``docs``."""
     named = cut(name_texts(docs, id_col=id_col, text_col=text_col, block_chars=block_chars), "identities")
     # rows of one level and name carry one text; the pair is the group's key
-    groups = named.groupBy("level", "name").agg(F.max(F.struct("__id", "row")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
+    # (written, so that the join is one that adaptive execution can split at a large group)
+    groups = cut(named.groupBy("level", "name").agg(F.max(F.struct("__id", "row")).alias("keep"), F.count(F.lit(1)).alias("group_size")), "groups")
     return named.join(groups, ["level", "name"]).select(
         "row", F.col("__id").alias(id_col), F.col("keep.__id").alias("keep_id"), "group_size",
         (F.col("row") == F.col("keep.row")).alias("kept"), "text_sha256",
