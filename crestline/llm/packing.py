@@ -38,29 +38,51 @@ class WordTokenizer:
     """Ids, as little-endian unsigned 32-bit bytes, of a tokenizer that drops white space.
 
     Such a tokenizer treats the words between white space independently, so each word is
-    encoded once for a worker.  An ASCII word is looked up in lower case, and letters
-    apart from the punctuation behind them, which it splits off (an apostrophe stays: it
-    can start a token of its own).  ``tests/llm`` holds this against whole texts.
+    encoded once for a worker.  Letters are looked up in lower case, and apart from the
+    ASCII punctuation behind them, which it splits off (an apostrophe stays: it can start
+    a token of its own).  ``tests/llm`` holds this against whole texts.
     """
 
     def __init__(self, path: str):
         known = _cache.get(path)
         if known is None:
-            known = _cache[path] = {"t": Tokenizer.from_file(path), "words": {}}
-        self.tokenizer, self.known = known["t"], known["words"]
+            t = Tokenizer.from_file(path)
+            last = np.zeros(max(t.get_vocab().values()) + 1, bool)
+            last[[i for token, i in t.get_vocab().items() if token.endswith("</w>")]] = True
+            known = _cache[path] = {"t": t, "words": {}, "last": last}
+        self.tokenizer, self.known, self.last = known["t"], known["words"], known["last"]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters: encoded as one text, and cut where a token ends a word."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = (np.flatnonzero(self.last[ids]) + 1) * 4
+        if len(ends) != len(words):
+            return self._ids(words)
+        flat, at = ids.tobytes(), ends.tolist()
+        return [flat[a:b] for a, b in zip([0, *at], at, strict=False)]
+
     def _learn(self, words: set[str]) -> None:
         plan: dict[str, tuple[str, ...]] = {}
+        letters, mixed = set(), set()
         for w in words:
-            plan[w] = (w,)
-            if w.isascii() and "<|" not in w:
-                core = w.rstrip(_TRAIL)
-                plan[w] = (core.lower(), w[len(core) :]) if core.isalpha() else (w.lower(),)
-        fresh = list({c for parts in plan.values() for c in parts if c and c not in self.known})
-        self.known.update(zip(fresh, self._ids(fresh), strict=True))
+            core = w.rstrip(_TRAIL)
+            if core.isalpha() and (core.isascii() or core.lower().isalpha()):
+                if core.isascii() or max(core) < "\u0100":  # where lower case is one letter for one
+                    core = core.lower()
+                tail = w[len(core) :]
+                plan[w] = (core, tail)
+                letters.add(core)
+                mixed.add(tail)
+            else:
+                plan[w] = (w,)
+                mixed.add(w)
+        for new, ids in ((letters, self._letters), (mixed, self._ids)):
+            fresh = [c for c in new if c and c not in self.known]
+            if fresh:
+                self.known.update(zip(fresh, ids(fresh), strict=True))
         for w, parts in plan.items():
             if w not in self.known:
                 self.known[w] = b"".join(self.known[c] for c in parts if c)
