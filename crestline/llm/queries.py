@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, jaccard, lm_score, mixing, packing, quality, toxicity, urls
+from . import exact_dedup, jaccard, lines, lm_score, mixing, packing, quality, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,12 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_dropped and the cleaned text's hash of every document."""
+    cleaned = lines.clean_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rule, verdict and posterior of every document."""
     return quality.quality(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -86,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_packing": op3_packing,
         "op4_ngram_jaccard": op4_ngram_jaccard,
         "op5_exact_dedup": op5_exact_dedup,
+        "op6_line_dedup": op6_line_dedup,
         "op7_quality": op7_quality,
         "op8_url_filter": op8_url_filter,
         "op9_lm_score": op9_lm_score,
@@ -93,4 +100,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.oracle_sql(), "op5_exact_dedup": OP5_SQL}
+    return {"op2_mixing": mixing.oracle_sql(), "op5_exact_dedup": OP5_SQL, "op6_line_dedup": lines.oracle_sql()}
