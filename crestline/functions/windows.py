@@ -17,7 +17,10 @@ class Slice:
 
     def __init__(self, keys: Sequence[str] = ("stream_id",), order: str = "bar"):
         self.keys, self.order = list(keys), order
-        self.w = Window.partitionBy(*self.keys).orderBy(order)
+
+    @property
+    def w(self):
+        return Window.partitionBy(*self.keys).orderBy(self.order)
 
     def last(self, n: int):
         return self.w.rowsBetween(-(n - 1), 0)
