@@ -63,7 +63,8 @@ def name_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     if not names.where("shared").isEmpty():
         # exact way for blocks with a common hash: by the block itself
         same = names.where("shared").select("h", "block", F.col("name").alias("__by_block"))
-        again = texts.select(F.monotonically_increasing_id().alias("row"), F.posexplode(_blocks(F.col("__text"), block_chars)).alias("pos", "block"))
+        numbered = texts.select(F.monotonically_increasing_id().alias("row"), "__text")  # before the blocks are exploded
+        again = numbered.select("row", F.posexplode(_blocks(F.col("__text"), block_chars)).alias("pos", "block"))
         by_block = again.withColumn("h", F.xxhash64("block")).join(same, ["h", "block"]).select("row", "pos", "__by_block")
         named = named.join(by_block, ["row", "pos"], "left").withColumn("name", F.coalesce("name", "__by_block")).drop("__by_block")
     current = cut(_lists(named), "names-0")
