@@ -144,13 +144,17 @@ class _Sums:
         at = int(np.argmax(ok))
         return (int(a[at]), int(gap - a[at])) if ok[at] else None
 
-    def find(self, gap: int) -> tuple[int, ...] | None:
+    def find(self, gap: int, most: int = 3) -> tuple[int, ...] | None:
         if gap <= 0:
             return None
         if self.n[gap] > 0:
             return (gap,)
+        if most < 2:
+            return None
         if p := self.pair(gap, gap - 1):
             return p
+        if most < 3:
+            return None
         there = np.flatnonzero(self.n[: gap - 1])
         for a in there[::-1].tolist():
             if a * 3 < gap:
@@ -163,12 +167,31 @@ class _Sums:
         return None
 
 
-def plan_patterns(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths, number of sequences) that use up the histogram."""
+Patterns = list[tuple[tuple[int, ...], int]]
+
+
+def plan_patterns(histogram: dict[int, int], capacity: int) -> Patterns:
+    """(lengths, number of sequences) that use up the histogram, in as few sequences as found.
+
+    The index is tried with sums of three, two and one lengths: where lengths are few, longer
+    sums can use up short pieces that others need.  It stops at the least that is possible.
+    """
+    least = -(-sum(k * v for k, v in histogram.items()) // capacity)
+    best: Patterns | None = None
+    for most in (3, 2, 1):
+        found = _plan(histogram, capacity, most)
+        if best is None or sum(n for _, n in found) < sum(n for _, n in best):
+            best = found
+        if sum(n for _, n in best) == least:
+            break
+    return best or []
+
+
+def _plan(histogram: dict[int, int], capacity: int, most: int) -> Patterns:
     n = np.zeros(capacity + 1, np.int64)
     for length, count in histogram.items():
         n[length] = count
-    out: list[tuple[tuple[int, ...], int]] = []
+    out: Patterns = []
     sums = _Sums(n)
     for length in range(capacity, 0, -1):
         while n[length]:
@@ -177,7 +200,7 @@ def plan_patterns(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[
                 n[length] = 0
                 break
             n[length] -= 1
-            rest = sums.find(capacity - length)
+            rest = sums.find(capacity - length, most)
             n[length] += 1
             if rest is None:
                 break
