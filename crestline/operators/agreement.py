@@ -43,10 +43,10 @@ def _by_windows(df: DataFrame, s: Slice, scales: Sequence[int], sides: dict[str,
     return df.drop(*(f"__rel{k}" for k in scales), *(f"__pir{k}" for k in scales))
 
 
-def position_matrix(close: np.ndarray, scales: Sequence[int]) -> np.ndarray:
-    """(scales, bars) positions as 32-bit floats, NaN during warm-up."""
+def position_matrix(close: np.ndarray, scales: Sequence[int], kind: type = np.float32) -> np.ndarray:
+    """(scales, bars) positions, NaN during warm-up."""
     n = len(close)
-    out = np.full((len(scales), n), np.nan, np.float32)
+    out = np.full((len(scales), n), np.nan, kind)
     total = np.concatenate(([0], np.cumsum(close)))
     for i, k in enumerate(scales):
         look = max(k, 20)
@@ -80,6 +80,17 @@ def _by_arrays(df: DataFrame, s: Slice, scales: Sequence[int], sides: dict[str,
     return df.groupBy(*s.keys).applyInArrow(run, schema)
 
 
+def agreement_counts(close: np.ndarray, scales: Sequence[int], high: float, low: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """(scales at the high extreme, scales at the low one, scales) of each bar, positions in 64 bits; zeros without scales."""
+    hits = np.zeros(len(close), np.int64), np.zeros(len(close), np.int64)
+    for k in scales:
+        m = position_matrix(close, [k], np.float64)[0]
+        with np.errstate(invalid="ignore"):
+            hits[0][m > high] += 1
+            hits[1][m < 1.0 - low] += 1
+    return hits[0], hits[1], len(scales)
+
+
 def agreement(df: DataFrame, s: Slice, scales: Sequence[int], sides: dict[str, tuple[bool, float]], method: str = "auto") -> DataFrame:
     """Adds each of ``sides`` {column: (high, extreme)}: the share of scales beyond the extreme, warm-up counting as not beyond."""
     if not scales:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import fields
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -11,12 +12,20 @@ from ..functions.windows import Slice
 from ..operators.detector import apply_thresholds, shape_features
 from ..operators.scoring import bootstrap_lcb, greedy_matches, pooled_scores, tolerance
 from ..operators.state import accepted
-from .params import Params, SideParams
+from .params import THRESHOLDS, VOTE_THRESHOLDS, Params, SideParams
 
 #: Keys of a slice: every half of a stream in a fold has a warm-up of its own.
 SLICE = ("fold", "stream_id", "half")
 
 
+def check_shape(a: SideParams, b: SideParams) -> None:
+    """Raises where parameters differ in more than what features are held against."""
+    free = {*THRESHOLDS, *VOTE_THRESHOLDS.values(), "confirm_count", "cooldown_bars", "min_duration", "pivot_drift_confirm_bias"}
+    changed = [f.name for f in fields(a) if getattr(a, f.name) != getattr(b, f.name) and f.name not in free]
+    if changed:
+        raise ValueError(f"not thresholds: {', '.join(changed)}")
+
+
 def informative_folds(slices: DataFrame, side: str, label: str = "label") -> DataFrame:
     """Folds whose outside halves hold a pivot of the side; the others score nothing whatever the parameters."""
     sign = 1 if side == "high" else -1

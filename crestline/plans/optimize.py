@@ -71,6 +71,8 @@ def pooled_scorer(slices: DataFrame, params: Params, side: str, weights: DataFra
         return kept[key]
 
     def score(candidates: Sequence[SideParams]) -> list[float]:
+        for p in candidates:
+            evaluate.check_shape(params.side(side), p)
         by_pct: dict[float, list[tuple[int, SideParams]]] = {}
         for i, p in enumerate(candidates):
             by_pct.setdefault(round(p.pct_extreme, 12), []).append((i, p))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import volmodels, windows as W
 from ..functions.windows import Slice
 from ..operators import agreement as ag, detector, labels, scoring, state
-from ..plans import calibrate, evaluate, folds, optimize, report
+from ..plans import calibrate, evaluate, folds, optimize, pipeline, report
 from ..plans.params import PRESETS
 from ..sources import bars as B, universe as U
 from . import sql as Q
@@ -534,6 +534,39 @@ def detector_all_votes(spark, d):
     return detector.detect(B.order_bars(spark, d), S, params).select("stream_id", "bar", "signal_high", "signal_low")
 
 
+_CONFIG = pipeline.RunConfig(preset="permissive", nest=NEST, n=N)
+
+
+@query(None)
+def walk_forward_scores(spark, d):
+    """Scores of both sides on every stream's own folds, each half with a warm-up of its own."""
+    out = pipeline.walk_forward_scores(B.order_bars(spark, d), PRESET, _CONFIG)
+    return out.select("stream_id", "side", "fold", *(F.round(c, 9).alias(c) for c in ("is_score", "oos_score", "gap", "fold_score")))
+
+
+@query(None)
+def walk_forward_bounds(spark, d):
+    """Bounds of the mean of each stream's folds."""
+    return pipeline.run_table(pipeline.walk_forward_scores(B.order_bars(spark, d), PRESET, _CONFIG), 40)
+
+
+@query(None)
+def holdout_scores(spark, d):
+    """Scores before and in the holdout of each stream."""
+    return pipeline.holdout_table(B.order_bars(spark, d), PRESET, _CONFIG)
+
+
+@query(None)
+def stability_probe(spark, d):
+    """Lower bounds of draws near the thresholds of the LOW side, on the pooled folds."""
+    slices = labelled_slices(spark, d).persist()
+    score = optimize.pooled_scorer(slices, PRESET, "low", cluster_weights(spark, d), 20, N)
+    at = PRESET.low
+    drawn = [replace(at, min_agreement=at.min_agreement + i * 0.05, scale_div_thresh=at.scale_div_thresh - i * 0.05) for i in range(4)]
+    rows = [("local", float(s)) for s in score(drawn)]
+    return optimize.stability(spark.createDataFrame(rows, "kind string, score double"), max(s for _, s in rows) or 1.0)
+
+
 def entry(spark: SparkSession, sf_dir: str = "/root/testdata/sf0.001") -> DataFrame:
     """Flagship: daily bars through features, gates and votes to signals of both sides."""
     return detector.detect(B.order_bars(spark, sf_dir), S, PRESET)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from crestline.functions import volmodels, windows as W
 from crestline.functions.windows import Slice
 from crestline.operators import agreement, detector, labels, scoring, state
-from crestline.plans import calibrate, folds, optimize, params as P, report
+from crestline.plans import calibrate, evaluate, folds, optimize, params as P, pipeline, report
 from crestline.sources import bars as B, universe as U
 from crestline.streaming import bars as stream_bars
 
@@ -374,3 +374,43 @@ def test_streamed_bars(spark, tmp_path):
     batch = {r["ts"]: tuple(r)[1:] for r in B.to_bars(ticks, "px", F.lit(1), tie=("key",)).drop("stream_id").select("ts", "open", "high", "low", "close", "volume").collect()}
     live = {r["ts"]: (r["open"], r["high"], r["low"], r["close"], r["volume"]) for r in spark.table("days").collect()}
     assert live and all(batch[t] == v for t, v in live.items())
+
+
+def test_runs(spark, tmp_path):
+    df = frame(spark, walk(900, 61)).withColumn("ts", F.timestamp_seconds(F.lit(1_300_000_000) + F.col("bar") * 86_400))
+    p = P.PRESETS["permissive"]
+    config = pipeline.RunConfig(preset="permissive", nest=(5, 10, 20), n=20)
+    scores = pipeline.walk_forward_scores(df, p, config)
+    assert scores.count() == 2 * folds.walk_forward_table(df).count() > 0
+    assert scores.where("fold_score > oos_score + 1e-12 OR fold_score < 0").count() == 0
+    per_slice = pipeline.walk_forward_scores(df, p, replace(config, label_whole=False))
+    assert per_slice.count() == scores.count()
+    for r in pipeline.run_table(scores, 20).collect():
+        assert r["lcb"] <= r["mean_score"] <= r["ucb"]
+    assert {r["part"] for r in pipeline.holdout_table(df, p, config).collect()} == {"is", "oos"}
+    (tmp_path / "X_1D_a_b.csv").write_text("time,open,high,low,close,volume\n" + "\n".join(f"{1_300_000_000 + r[1] * 86400},{r[2]},{r[3]},{r[4]},{r[5]},{r[6]}" for r in walk(300, 5)))
+    out = pipeline.score_instruments(spark, {"x": str(tmp_path / "X_1D_a_b.csv"), "y": str(tmp_path / "none.csv")}, p, config).collect()
+    assert sorted((r["instrument"], r["error"] is None) for r in out) == [("x", True)] * 2 + [("y", False)] * 2
+    known = spark.createDataFrame([(1_300_000_000,), (1_500_000_000,)], "s long").select(F.timestamp_seconds("s").alias("ts"))
+    assert [r["hit"] for r in pipeline.hits_near(df, known).orderBy("ts").collect()] == [True, False]
+
+
+def test_bounds_and_pruning(spark):
+    rows = [(c, f, 0.1 * c + 0.01 * f, 1.0) for c in range(5) for f in range(4)] + [(0, 9, 0.0, 0.0)]
+    scores = spark.createDataFrame(rows, "candidate int, fold int, fold_score double, oos_pivots double")
+    b = pipeline.running_bounds(scores, 6)
+    assert b.count() == 20
+    pruned = {r["candidate"]: r["pruned"] for r in pipeline.median_pruned(b, startup=2, warmup=1).collect()}
+    assert pruned == {0: True, 1: True, 2: False, 3: False, 4: False}
+    with pytest.raises(ValueError):
+        evaluate.check_shape(P.DEFAULT_LOW, replace(P.DEFAULT_LOW, S_detect=9))
+    evaluate.check_shape(P.DEFAULT_LOW, replace(P.DEFAULT_LOW, min_agreement=0.5))
+
+
+def test_agreement_counts():
+    close = np.cumsum(np.random.default_rng(3).normal(0, 1, 200)) + 100
+    high, low, n = agreement.agreement_counts(close, [3, 6, 9], 0.9, 0.9)
+    m = agreement.position_matrix(close, [3, 6, 9], np.float64)
+    assert n == 3 and high.tolist() == (np.nan_to_num(m, nan=0.5) > 0.9).sum(axis=0).tolist()
+    assert low.tolist() == (np.nan_to_num(m, nan=0.5) < 1.0 - 0.9).sum(axis=0).tolist()
+    assert agreement.agreement_counts(close, [], 0.9, 0.9)[2] == 0
