@@ -31,16 +31,18 @@ _WHITE = " \t\x0b\x0c\r"
 
 
 def _words(line: Column) -> Column:
+    """Words of a line, those with a digit masked; only lines with a digit are looked through for them."""
     words = F.filter(F.split(F.translate(line, _WHITE, " " * len(_WHITE)), " ", -1), lambda w: w != "")
-    return F.transform(words, lambda w: F.when(w.rlike("[0-9]"), F.lit(VARIABLE)).otherwise(w))
+    plain = F.translate(line, "0123456789", "") == line
+    return F.when(plain, words).otherwise(F.transform(words, lambda w: F.when(F.translate(w, "0123456789", "") == w, w).otherwise(F.lit(VARIABLE))))
 
 
 def _exploded(docs: DataFrame, text_col: str) -> DataFrame:
     """(row, doc, pos, words) of each line with words."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), text.alias("__text"))
-    lines = rows.select("row", F.xxhash64("__text").alias("doc"), F.posexplode(F.split("__text", "\n", -1)).alias("pos", "line"))
-    return lines.select("row", "doc", "pos", _words(F.col("line")).alias("words"))
+    # words are made inside the generator: a filter on them cannot be pushed below it and make them again
+    return rows.select("row", F.xxhash64("__text").alias("doc"), F.posexplode(F.transform(F.split("__text", "\n", -1), _words)).alias("pos", "words"))
 
 
 def _leaf(words: Column) -> Column:
