@@ -79,7 +79,9 @@ def clean_lines(docs: DataFrame, *, min_docs: int = 10, max_variable: float = 0.
     per_row = cut(drop.groupBy("row").agg(F.collect_set("pos").alias("__drop")), "dropped-places")
     kept = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    whole = docs.select(F.monotonically_increasing_id().alias("row"), *kept, text.alias("__text")).join(per_row, "row", "left")
+    whole = docs.select(F.monotonically_increasing_id().alias("row"), *kept, text.alias("__text"))
+    # the rows with lines to drop grow with the corpus, so they are never broadcast: one plan at every size
+    whole = whole.join(per_row.hint("merge"), "row", "left")
     lines = F.split("__text", "\n", -1)
     gone = F.map_from_arrays(F.col("__drop"), F.transform("__drop", lambda p: F.lit(True)))
     left = F.transform(F.array(gone), lambda m: F.filter(lines, lambda line, i: ~F.coalesce(F.try_element_at(m, i), F.lit(False))))[0]
