@@ -37,3 +37,36 @@ def test_wide_shingles_are_of_their_words_alone():
         whole = passages.wide_shingles(np.concatenate((h, h[:100])), k)
         assert (whole[300 : 300 + 101 - k] == whole[: 101 - k]).all() and len(set(whole[:300].tolist())) == 300
         assert len(passages.wide_shingles(h[: k - 1], k)) == 0
+
+
+def edited(rng, t, n):
+    out = list(t)
+    for i in range(1, n + 1):
+        out[i * len(t) // (n + 1)] = text(rng, 1)[0]
+    return out
+
+
+def test_good_parts_of_a_poor_chain():
+    """Two passages of 60 words with 5 edits each, and 30 other words between them."""
+    rng = random.Random(5)
+    a, b = text(rng, 60), text(rng, 60)
+    one, two = a + text(rng, 30) + b, edited(rng, a, 5) + text(rng, 30) + edited(rng, b, 5)
+    names = {w: k for k, w in enumerate({*one, *two})}
+    p, q = (np.array([names[w] for w in t], np.uint32) for t in (one, two))
+    x = np.flatnonzero(np.convolve(p == q, np.ones(passages.K, int), "valid") == passages.K)
+    found = passages.passages_along(p, q, x, x, 50, 0.8)
+    assert sorted(found) == [(0, 60, 0, 60, 55), (90, 150, 90, 150, 55)]
+    # and with words put in between, so that the passages are on two diagonals
+    q = np.concatenate((q[:70], np.arange(10**6, 10**6 + 7, dtype=np.uint32), q[70:]))
+    found = passages.passages_along(p, q, x, np.where(x < 70, x, x + 7), 50, 0.8)
+    assert sorted(found) == [(0, 60, 0, 60, 55), (90, 150, 97, 157, 55)]
+
+
+def test_good_stretches_against_loops():
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        same = rng.random(int(rng.integers(0, 60))) < rng.choice([0.5, 0.8, 0.95])
+        got = passages.good_stretches(same, 12, 0.8)
+        assert all(q - p >= 12 and same[p:q].sum() >= 0.8 * (q - p) - 1e-6 for p, q in got)
+        assert all(b <= c for (_, b), (c, _) in zip(got, got[1:]))
+        assert bool(got) == any(same[p:q].sum() >= 0.8 * (q - p) for p in range(len(same)) for q in range(p + 12, len(same) + 1))
