@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from crestline.llm import passages
 
@@ -70,3 +71,29 @@ def test_good_stretches_against_loops():
         assert all(q - p >= 12 and same[p:q].sum() >= 0.8 * (q - p) - 1e-6 for p, q in got)
         assert all(b <= c for (_, b), (c, _) in zip(got, got[1:]))
         assert bool(got) == any(same[p:q].sum() >= 0.8 * (q - p) for p in range(len(same)) for q in range(p + 12, len(same) + 1))
+
+
+def test_lone_repeated_anchors_are_kept():
+    """A seed that a document has twice gives a chain at both places, whichever is the passage."""
+    anchors = [[{"src": 7, "x": 10, "y": 500}, {"src": 7, "x": 900, "y": 500}]]
+    kind = pa.list_(pa.struct([("src", pa.int64()), ("x", pa.int32()), ("y", pa.int32())]))
+    batch = pa.RecordBatch.from_arrays([pa.array([9], pa.int64()), pa.array(anchors, kind)], ["row", "anchors"])
+    out = [r for b in passages._chains([batch]) for r in b.to_pylist()]
+    assert sorted((r["s"] + r["x"][0], r["ss"] + r["y"][0]) for r in out) == [(10, 500), (900, 500)]
+
+
+def test_repeat_on_a_lone_repeated_anchor(spark):
+    """An edited passage whose only seed in its source also occurs earlier in the document, by chance."""
+    rng = random.Random(8)
+    texts, expect = [], []
+    for _ in range(40):
+        phrase = text(rng, 6)
+        whole = text(rng, 25) + phrase + text(rng, 25)
+        other = list(whole)
+        for i in (3, 8, 13, 18, 24, 31, 36, 41, 46, 51):  # no other run of six words is left
+            other[i] = text(rng, 1)[0]
+        at = len(texts)
+        texts += [text(rng, 60) + whole + text(rng, 60), text(rng, 40) + phrase + text(rng, 70) + other + text(rng, 20)]
+        expect.append((at + 1, at))
+    # the phrase is a seed where its hash is the smallest of its windows in both texts
+    assert len({r[:2] for r in found_in(spark, texts, "lone")} & set(expect)) >= 3
