@@ -75,10 +75,10 @@ def test_good_stretches_against_loops():
 
 def test_lone_repeated_anchors_are_kept():
     """A seed that a document has twice gives a chain at both places, whichever is the passage."""
-    anchors = [[{"src": 7, "x": 10, "y": 500}, {"src": 7, "x": 900, "y": 500}]]
-    kind = pa.list_(pa.struct([("src", pa.int64()), ("x", pa.int32()), ("y", pa.int32())]))
+    anchors = [[{"src": 7, "x": x, "y": 500, "before": 0, "after": 0} for x in (10, 900)]]
+    kind = pa.list_(pa.struct([("src", pa.int64()), ("x", pa.int32()), ("y", pa.int32()), ("before", pa.int64()), ("after", pa.int64())]))
     batch = pa.RecordBatch.from_arrays([pa.array([9], pa.int64()), pa.array(anchors, kind)], ["row", "anchors"])
-    out = [r for b in passages._chains([batch]) for r in b.to_pylist()]
+    out = [r for b in passages._chains(50, 0.8)([batch]) for r in b.to_pylist()]
     assert sorted((r["s"] + r["x"][0], r["ss"] + r["y"][0]) for r in out) == [(10, 500), (900, 500)]
 
 
@@ -97,3 +97,24 @@ def test_repeat_on_a_lone_repeated_anchor(spark):
         expect.append((at + 1, at))
     # the phrase is a seed where its hash is the smallest of its windows in both texts
     assert len({r[:2] for r in found_in(spark, texts, "lone")} & set(expect)) >= 3
+
+
+def test_sides_never_rule_out_a_passage():
+    """An anchor whose sides hold a passage can match by its bits; nearly no other can."""
+    rng = np.random.default_rng(4)
+    x, k, m = 80, passages.K, passages.MARGIN
+    passed = []
+    for i in range(600):
+        a = rng.integers(0, 1 << 63, int(rng.integers(x + k, 230))).astype(np.uint64)
+        b = rng.integers(0, 1 << 63, int(rng.integers(x + k, 230))).astype(np.uint64)
+        lo, n = int(rng.integers(x - 50, x)), min(len(a), len(b))
+        hi = min(n, lo + 60)
+        if i % 2:
+            b[lo:hi] = np.where(rng.random(hi - lo) < 0.85, a[lo:hi], b[lo:hi])
+        b[x : x + k] = a[x : x + k]
+        (l1, r1), (l2, r2) = (passages.side_bits(t, np.array([x])) for t in (a, b))
+        able = bool(passages.can_match(l1 ^ l2, r1 ^ r2, 50, 0.8)[0])
+        same = a[x - m : min(n, x + k + m)] == b[x - m : min(n, x + k + m)]
+        assert able or not passages.good_stretches(same, 50, 0.8)
+        passed.append(able and not i % 2)
+    assert sum(passed) <= 30
