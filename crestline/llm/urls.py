@@ -13,8 +13,11 @@ urls share costs what one url costs; their scores go back to the urls by a join
 is broadcast up to ``BROADCAST_WINDOWS`` rows and shuffled beyond.  The driver sees a
 histogram of calibration scores, bounded by its bins.  All in DataFrame functions.
 
+Rules look at host and path; the models read the whole url, with its scheme, query and
+fragment, as it is but for A-Z of the host, which are lower-cased.
+
 Defined cases: a null url, or one without ``://``, has an empty host and path and fits no
-rule; its text for the models is empty, which is scored by its end alone; without both
+rule; a null url is an empty text for the models, scored by its end alone; without both
 accepted and rejected urls the verdict is allow; repeated rows are judged each; an empty
 table gives no rows; urls of any length are read whole.
 """
@@ -53,6 +56,15 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path
 
 
+def whole_url(url: Column) -> Column:
+    """The url as the models read it: all of it, the host's A-Z lower-cased; empty for null."""
+    u = F.coalesce(url.cast("string"), F.lit(""))
+    at = F.instr(u, "://")
+    host, _ = split_url(url)
+    rest = F.substring(u, at + 3 + F.length(host), F.length(u))
+    return F.when(at > 0, F.concat(F.substring(u, F.lit(1), at + 2), host, rest)).otherwise(u)
+
+
 def best_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     """struct(size, rule, verdict) of the longest rule that fits, else null; the rules are a parameter, not data."""
     if not rules:
@@ -132,11 +144,11 @@ def calibrate(bins: list[tuple[int, int, int]]) -> tuple[float, float]:
 def filter_urls(pages: DataFrame, rules: Sequence[Rule], *, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(id, host, path, rule, verdict, score, probability) of each row; score and probability are of the models."""
     host, path = split_url(F.col(url_col))
-    parsed = pages.select(F.col(id_col).alias("__id"), host.alias("host"), path.alias("path"))
+    parsed = pages.select(F.col(id_col).alias("__id"), host.alias("host"), path.alias("path"), whole_url(F.col(url_col)).alias("__text"))
     parsed = parsed.withColumn("__best", best_rule(F.col("host"), F.col("path"), rules))
-    parsed = parsed.select(F.monotonically_increasing_id().alias("row"), "__id", "host", "path", F.col("__best.rule").alias("rule"), F.col("__best.verdict").alias("by_rule"))
+    parsed = parsed.select(F.monotonically_increasing_id().alias("row"), "__id", "host", "path", "__text", F.col("__best.rule").alias("rule"), F.col("__best.verdict").alias("by_rule"))
     parsed = cut(parsed, "urls")
-    text = F.concat("host", "path")
+    text = F.col("__text")
     learnt = F.col("by_rule").isNotNull() & (F.pmod(F.xxhash64("host", "path"), F.lit(5)) != 0)
     use = F.when(learnt, "learn").when(F.col("by_rule").isNotNull(), "calibrate").otherwise("judge").alias("use")
     placed = parsed.select("row", use, (F.col("by_rule") == "allow").alias("accepted"), F.explode(_windows(text)).alias("window"))

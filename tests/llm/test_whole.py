@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from crestline.llm import passages
+from crestline.llm import passages, urls
 
 
 def text(rng, n):
@@ -118,3 +118,16 @@ def test_sides_never_rule_out_a_passage():
         assert able or not passages.good_stretches(same, 50, 0.8)
         passed.append(able and not i % 2)
     assert sum(passed) <= 30
+
+
+def test_models_read_whole_urls(spark):
+    """Urls without a rule are told apart by their queries, fragments, schemes, or text without a scheme."""
+    rows = [(i, f"http://{'bad' if i % 2 else 'good'}{i}.org/p?to={'casino-win' if i % 2 else 'library'}") for i in range(200)]
+    asked = ["http://x.com/a?to=casino-win", "http://x.com/a?to=library", "http://x.com/a", "x.com/casino-win", "x.com/library", None]
+    pages = spark.createDataFrame(rows + [(1000 + i, u) for i, u in enumerate(asked)], "page_id long, url string").coalesce(1)
+    rules = [urls.Rule("block" if i % 2 else "allow", f"{'bad' if i % 2 else 'good'}{i}.org", "/") for i in range(200)]
+    got = {r["page_id"]: r for r in urls.filter_urls(pages, rules).where("page_id >= 1000").collect()}
+    assert [got[1000 + i]["verdict"] for i in (0, 1)] == ["block", "allow"]
+    assert got[1000]["score"] < got[1002]["score"] < got[1001]["score"] and got[1003]["score"] < got[1004]["score"]
+    texts = spark.createDataFrame([("HTTP://WWW.X.com:80/A?B#C",), ("a://B",), ("No Scheme",), (None,)], "u string")
+    assert [r[0] for r in texts.select(urls.whole_url(texts.u)).collect()] == ["HTTP://www.x.com:80/A?B#C", "a://b", "No Scheme", ""]
