@@ -6,8 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .folds import purged_blocks, purged_parts
-
 BETA = 0.5
 GRID = 256
 
@@ -55,24 +53,31 @@ def best_cutpoint(rows: DataFrame, feature: str, positive: str, *, keys: Sequenc
     return curve.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.*")
 
 
-def cv_cutpoint(rows: DataFrame, feature: str, positive: str, *, n_rows: int, folds: int = 5, embargo: int = 10, order: str = "bar", kind: str = "fbeta") -> DataFrame:
-    """(threshold, score): of a grid of quantiles, the cut with the best mean out-of-fold score; the lowest of equals.
+def cv_cutpoint(rows: DataFrame, feature: str, positive: str, *, keys: Sequence[str] = (), n_rows: int | None = None, folds: int = 5, embargo: int = 10, order: str = "bar", kind: str = "fbeta") -> DataFrame:
+    """(keys, threshold, score): of a grid of quantiles, the cut with the best mean out-of-fold score; the lowest of equals.
 
+    ``order`` numbers the rows of each key from 0 on; without ``n_rows`` the blocks divide all of them.
+    ``embargo`` takes rows from training parts, which cuts of a fixed grid do not use.
     Each test block is counted by grid cell, and sums from the cell on give all cuts at once.
     """
-    spark = rows.sparkSession
+    by = list(keys) or ["__all"]
+    rows = rows.select(*(keys or [F.lit(0).alias("__all")]), F.col(order).alias("__at"), F.col(feature).cast("double").alias("v"), F.col(positive).cast("long").alias("__y"))
     qs = [i / (GRID - 1) for i in range(GRID)]
-    grid = rows.where(F.col(feature).isNotNull()).agg(F.percentile(F.col(feature).cast("double"), F.array(*map(F.lit, qs))).alias("q"))
-    cuts = grid.select(F.explode(F.array_distinct("q")).alias("threshold"))
-    tests = purged_parts(rows.select(order, feature, positive), purged_blocks(spark, n_rows, folds, embargo), order).where("part = 'test'")
-    by_value = tests.groupBy("block", F.col(feature).cast("double").alias("v")).agg(F.sum(F.col(positive).cast("long")).alias("tp"), F.count(F.lit(1)).alias("n"))
+    n = F.max("__at") + 1 if n_rows is None else F.lit(n_rows)
+    # one row a key: its size and its grid
+    grid = rows.groupBy(*by).agg(n.cast("long").alias("__n"), F.percentile("v", F.array(*map(F.lit, qs))).alias("q")).where("q IS NOT NULL")
+    cuts = grid.select(*by, F.explode(F.array_distinct("q")).alias("threshold"))
+    edge = [F.floor(F.col("__n") * i / F.lit(folds)) for i in range(1, folds)]
+    block = sum(((F.col("__at") >= e).cast("int") for e in edge), F.lit(0))
+    tests = rows.join(grid, by).where((F.col("__at") >= 0) & (F.col("__at") < F.col("__n")))
     # the cell of a value: the largest cut that is not above it
     cell = F.array_max(F.filter("q", lambda t: t <= F.col("v")))
-    cells = by_value.join(F.broadcast(grid)).select("block", cell.alias("threshold"), "tp", "n").groupBy("block", "threshold").agg(F.sum("tp").alias("tp"), F.sum("n").alias("n"))
-    blocks = cells.groupBy("block").agg(F.sum("tp").alias("positives"), F.sum("n").alias("total")).where("positives > 0")
-    full = blocks.join(F.broadcast(cuts)).join(cells, ["block", "threshold"], "left")
-    w = Window.partitionBy("block").orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    sums = full.select("block", "threshold", F.sum(F.coalesce("tp", F.lit(0))).over(w).cast("double").alias("tp"), F.sum(F.coalesce("n", F.lit(0))).over(w).cast("double").alias("n"), F.col("positives").cast("double"), F.col("total").cast("double"))
-    scored = sums.select("threshold", objective(F.col("tp"), F.col("n"), F.col("positives"), F.col("total"), kind).alias("s"))
-    mean = scored.groupBy("threshold").agg(F.avg("s").alias("score"))
-    return mean.agg(F.max_by(F.struct("threshold", "score"), F.struct(F.round("score", 12), -F.col("threshold"))).alias("b")).select("b.*")
+    cells = tests.select(*by, block.alias("block"), cell.alias("threshold"), "__y").groupBy(*by, "block", "threshold").agg(F.sum("__y").alias("tp"), F.count(F.lit(1)).alias("n"))
+    blocks = cells.groupBy(*by, "block").agg(F.sum("tp").alias("positives"), F.sum("n").alias("total")).where("positives > 0")
+    full = blocks.join(cuts, by).join(cells, [*by, "block", "threshold"], "left")
+    w = Window.partitionBy(*by, "block").orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
+    sums = full.select(*by, "block", "threshold", F.sum(F.coalesce("tp", F.lit(0))).over(w).cast("double").alias("tp"), F.sum(F.coalesce("n", F.lit(0))).over(w).cast("double").alias("n"), F.col("positives").cast("double"), F.col("total").cast("double"))
+    scored = sums.select(*by, "threshold", objective(F.col("tp"), F.col("n"), F.col("positives"), F.col("total"), kind).alias("s"))
+    mean = scored.groupBy(*by, "threshold").agg(F.avg("s").alias("score"))
+    best = F.max_by(F.struct("threshold", "score"), F.struct(F.round("score", 12), -F.col("threshold"))).alias("b")
+    return mean.groupBy(*by).agg(best).select(*keys, "b.*")

@@ -456,6 +456,13 @@ def cv_cutpoint(spark, d):
     return calibrate.cv_cutpoint(b, "f", "y", n_rows=_N1).select(*six("threshold"), F.round("score", 9).alias("score"))
 
 
+@query(None)
+def cv_cutpoint_streams(spark, d):
+    """Cross-validated cut of closes for rising bars of every stream, with blocks over all its bars."""
+    b = B.order_bars(spark, d).select("stream_id", "bar", F.col("close").alias("f"), (F.col("close") >= F.col("open")).alias("y"))
+    return calibrate.cv_cutpoint(b, "f", "y", keys=["stream_id"]).select("stream_id", *six("threshold"), F.round("score", 9).alias("score"))
+
+
 # Reports -----------------------------------------------------------------------------
 
 _TRIALS = [("a", i, "PRUNED" if i % 7 == 3 else "COMPLETE", round(math.sin(i * 1.7) * 0.2 + 0.3, 6), (i * 37 % 11) / 10, (i * 13 % 17) / 16) for i in range(120)] + [("b", i, "COMPLETE", round(0.1 + i * 0.001, 6), i / 10, 1 - i / 10) for i in range(9)]
