@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from crestline.llm import passages, urls
+from crestline.llm import passages, queries, urls
 
 
 def text(rng, n):
@@ -131,3 +131,11 @@ def test_models_read_whole_urls(spark):
     assert got[1000]["score"] < got[1002]["score"] < got[1001]["score"] and got[1003]["score"] < got[1004]["score"]
     texts = spark.createDataFrame([("HTTP://WWW.X.com:80/A?B#C",), ("a://B",), ("No Scheme",), (None,)], "u string")
     assert [r[0] for r in texts.select(urls.whole_url(texts.u)).collect()] == ["HTTP://www.x.com:80/A?B#C", "a://b", "No Scheme", ""]
+
+
+def test_short_lines_that_recur_are_dropped(spark):
+    path = f"{spark.conf.get('spark.checkpoint.dir')}/whole-lines"
+    rows = [(i, f"All rights reserved.\nown line {'abcdefghijkl'[i]}\n\n7") for i in range(12)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.mode("overwrite").parquet(f"{path}/documents.parquet")
+    got = queries.queries()["op6_line_dedup_all_lengths"](spark, path).collect()
+    assert len(got) == 12 and {(r["n_lines"], r["n_dropped"]) for r in got} == {(4, 1)}
