@@ -8,9 +8,10 @@ broadcast holds only the rest (never more than ``2**bits`` floats).
 
 Defined cases: a null or empty text has no features and scores the bias alone; very
 long texts are scored whole; repeated rows are scored each; an empty table gives no
-rows; without training rows every score is the prior of 0.5 and ``predicted`` stays 0
-for it is taken as "not shown to be toxic".  Extra columns are carried through
-untouched; only a column with the name asked for the score is replaced.
+rows; without training rows every score is 0 (to 15 digits), for nothing is shown to be
+toxic.  Rows of one id are one training row, by the smallest of their features and the
+largest of their labels.  Extra columns are carried through untouched; only a column
+with the name asked for the score is replaced.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from .kernel import U, WHITE_OR_PUNCTUATION, mix, rows_of_words
 
+#: Scores are of logits in this range.
+_FAR = 35.0
 _PAIR, _SKIP = U(0x8CB92BA72F3D8DD7), U(0xC2B2AE3D27D4EB4F)
 
 
@@ -84,7 +87,7 @@ def fit_ftrl(rows: list[tuple[np.ndarray, int]], p: FtrlParams) -> tuple[float,
             l1[-1] = 0.0
             zi, ni = z[i], n[i]
             w = weights(zi, ni, l1)
-            g = (1.0 / (1.0 + np.exp(-np.clip(w.sum(), -35, 35))) - y) * (p.positive_weight if y else 1.0)
+            g = (1.0 / (1.0 + np.exp(-np.clip(w.sum(), -_FAR, _FAR))) - y) * (p.positive_weight if y else 1.0)
             z[i] = zi + g - (np.sqrt(ni + g * g) - np.sqrt(ni)) / p.alpha * w
             n[i] = ni + g * g
     w = weights(z, n, np.append(np.full(size, p.l1), 0.0))
@@ -94,9 +97,9 @@ def fit_ftrl(rows: list[tuple[np.ndarray, int]], p: FtrlParams) -> tuple[float,
 def train(docs: DataFrame, labels: DataFrame, params: FtrlParams = FtrlParams(), *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> FtrlModel:
     """Fit on at most ``params.max_rows`` labelled rows; the caller leaves held-out labels out.
 
-    A document's label is the largest of its non-null labels.  The sample's ids are
-    broadcast (``max_rows`` bounds them); one task then makes the passes, which FTRL's
-    sequence asks for, over no more than that many rows.
+    The sample's ids are broadcast (``max_rows`` bounds them).  Scan, join and features are
+    parallel, rows of one id are combined before the shuffle, and one task then makes the
+    passes, which FTRL's sequence asks for, over no more than ``max_rows`` rows.
     """
     y = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     y = y.groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("__y"))
@@ -126,10 +129,11 @@ def train(docs: DataFrame, labels: DataFrame, params: FtrlParams = FtrlParams(),
             [pa.array([-1, -2, *at.tolist()], pa.int64()), pa.array([bias, float(len(examples)), *w[at].tolist()], pa.float64())], ["i", "w"]
         )
 
-    fitted = rows.mapInArrow(extract, "id long, x binary, y int").coalesce(1).mapInArrow(fit, "i long, w double").toArrow()
+    sample = rows.mapInArrow(extract, "id long, x binary, y int").groupBy("id").agg(F.min("x").alias("x"), F.max("y").alias("y"))
+    fitted = sample.repartition(1).mapInArrow(fit, "i long, w double").toArrow()
     i, w = fitted.column("i").to_numpy(), fitted.column("w").to_numpy()
     if not len(i):
-        return FtrlModel(params.bits, 0.0, np.zeros(0, np.int64), np.zeros(0), 0)
+        return FtrlModel(params.bits, -_FAR, np.zeros(0, np.int64), np.zeros(0), 0)
     return FtrlModel(params.bits, float(w[i == -1][0]), i[i >= 0], w[i >= 0], int(w[i == -2][0]))
 
 
@@ -148,7 +152,7 @@ def score(docs: DataFrame, model: FtrlModel, *, text_col: str = "text", score_co
                 used = np.flatnonzero(w[idx])
                 pair = np.unique((row[used] << bits) | idx[used])
                 total = np.bincount(pair >> bits, weights=w[pair & ((1 << bits) - 1)], minlength=n) + bias
-                out.append(1.0 / (1.0 + np.exp(-np.clip(total, -35, 35))))
+                out.append(1.0 / (1.0 + np.exp(-np.clip(total, -_FAR, _FAR))))
             values = np.concatenate(out) if out else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), pa.array(values, pa.float64())], [*kept, score_col])
 
@@ -167,5 +171,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, params: FtrlParams = FtrlParams
     scored = score(docs.select(id_col, text_col), model, text_col=text_col, score_col="score")
     return scored.select(
         id_col, (fold(id_col, folds) == 0).alias("held_out"), "score",
-        F.when(F.lit(model.n_rows > 0) & (F.col("score") >= 0.5), 1).otherwise(0).alias("predicted"),
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
