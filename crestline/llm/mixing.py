@@ -4,7 +4,7 @@ Each source gets a mean repetition rate, ``weight * total / size`` in characters
 that the expected share of each source is its target weight.  A document's number of
 copies is the inverse of the Poisson distribution with that mean, at a uniform value
 taken from a hash of seed, id and text; copies are exploded and dealt out by another
-hash, which shuffles them globally.  A run is repeatable and needs no state.
+hash of id, text and copy, which shuffles them globally.  A run is repeatable and needs no state.
 
 Defined cases: a null source is a source of its own (the weights' key for it is None,
 written as an empty string in its table); a source without a weight has weight 0 and
@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 #: A table of sources up to so many rows is broadcast; beyond, it is joined by a shuffle that splits hot sources.
 BROADCAST_SOURCES = 50_000
+#: Largest rate of one draw.
+MOST_RATE = 500
 #: The inverse is searched to this many standard deviations above the mean.
 _TAIL = 12
 
@@ -38,8 +40,8 @@ def uniform(seed: int, *cols: Column) -> Column:
 def poisson_inverse(u: Column, rate: Column) -> Column:
     """Smallest k whose cumulated Poisson probability reaches u.
 
-    The sum runs over as many terms as the rate asks for; rates above 500, where
-    exp(-rate) leaves the doubles, are split by the caller into whole copies and a rest.
+    The sum runs over as many terms as the rate asks for.  Above MOST_RATE exp(-rate)
+    nears the end of the doubles, and ``poisson_copies`` adds up several draws.
     """
     last = F.ceil(rate + _TAIL * F.sqrt(rate) + 20).cast("int")
     start = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("c"), F.when(u > F.exp(-rate), 1).otherwise(0).alias("k"))
@@ -52,6 +54,18 @@ def poisson_inverse(u: Column, rate: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), last), start, step, lambda s: s["k"])
 
 
+def poisson_copies(seed: int, rate: Column, *key: Column) -> Column:
+    """A Poisson draw of each row, from a hash of seed and key.
+
+    A rate above MOST_RATE is cut into equal rates below it; the draws of the parts, from
+    hashes of their own, add up to a Poisson draw of the whole.
+    """
+    parts = F.greatest(F.ceil(rate / MOST_RATE), F.lit(1)).cast("int")
+    one = poisson_inverse(uniform(seed, *key), rate)
+    every = F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), lambda n, j: n + poisson_inverse(uniform(seed, *key, j), rate / parts))
+    return F.when(parts == 1, one).otherwise(every)
+
+
 def source_rates(docs: DataFrame, weights: dict[str | None, float] | None, *, source_col: str = "source", text_col: str = "text", total: float | None = None, floor: float = 0.0) -> DataFrame:
     """(source key, size, rate) of each source; ``weights`` None: all sources alike, ``total`` None: the size that is there."""
     size = F.sum(F.greatest(F.coalesce(F.length(text_col), F.lit(0)), F.lit(1)))
@@ -78,15 +92,14 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     n_sources = docs.select(F.col(source_col)).distinct().limit(BROADCAST_SOURCES + 1).count()
     keyed = docs.withColumn("__source", F.coalesce(F.col(source_col).cast("string"), F.lit("")))
     joined = keyed.join(F.broadcast(rates) if n_sources <= BROADCAST_SOURCES else rates, "__source")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    whole = F.floor(F.col("__rate") / 500) * 500
-    u = uniform(seed, F.col(id_col), F.md5(text))
-    joined = joined.withColumn("__u", u).withColumn("__rest", F.col("__rate") - whole)
-    copies = joined.withColumn("__n", (whole + poisson_inverse(F.col("__u"), F.col("__rest"))).cast("int"))
+    joined = joined.withColumn("__text", F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).withColumn("__row", F.monotonically_increasing_id())
+    copies = joined.withColumn("__n", poisson_copies(seed, F.col("__rate"), F.col(id_col), F.col("__text")))
     out = [F.col(c) for c in docs.columns if c not in ("copy", "rate", "shuffle_key")]
-    rows = copies.where(F.col("__n") > 0).select(*out, F.col("__rate").alias("rate"), F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("copy"))
-    rows = rows.withColumn("shuffle_key", uniform(seed + 1, F.col(id_col), F.col("copy")))
-    return rows.repartition(F.col("shuffle_key")).sortWithinPartitions("shuffle_key")
+    copy = F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("copy")
+    rows = copies.where(F.col("__n") > 0).select(*out, F.col("__rate").alias("rate"), "__text", "__row", copy)
+    rows = rows.withColumn("shuffle_key", uniform(seed + 1, F.col(id_col), F.col("__text"), F.col("copy"))).drop("__text")
+    # equal rows have one key; their place in the scan deals them out
+    return rows.repartition(F.col("shuffle_key"), F.col("__row")).sortWithinPartitions("shuffle_key").drop("__row")
 
 
 def oracle_sql(seed: int = 7) -> str:
@@ -103,6 +116,6 @@ cdf AS (SELECT k, i, sum(p) OVER (PARTITION BY k ORDER BY i) AS c FROM terms),
 n AS (SELECT u.doc_id, u.text, u.lang, u.source, u.n_chars, u.rate, (SELECT count(*) FROM cdf WHERE cdf.k = u.k AND u.u > cdf.c) AS n FROM u),
 e AS (SELECT doc_id, text, lang, source, n_chars, rate, unnest(range(1, n + 1))::INT AS copy FROM n WHERE n > 0)
 SELECT doc_id, text, lang, source, n_chars, round(rate, 6) AS rate, copy,
-       (('0x' || substr(md5(concat_ws(chr(31), '{seed + 1}', coalesce(doc_id::VARCHAR, ''), copy::VARCHAR)), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS shuffle_key
+       (('0x' || substr(md5(concat_ws(chr(31), '{seed + 1}', coalesce(doc_id::VARCHAR, ''), md5(coalesce(text, '')), copy::VARCHAR)), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS shuffle_key
 FROM e
 """
