@@ -15,8 +15,9 @@ text's number of blocks; the documents that take part halve in blocks at each le
 
 Defined cases: null counts as empty, and all empty texts are equal; of equal texts the
 row with the largest id stays (a null id is the smallest; of rows with the same id, one
-row); an empty table gives no rows; extra columns play no part in equality.  ``docs``
-must list its rows in the same order whenever it is read, as a file scan does.
+row); an empty table gives no rows; extra columns play no part in equality and are
+carried through by ``drop_exact_duplicates``.  Rows are numbered in one written table,
+which all later steps read.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .store import cut
+from .store import cut, free_name, numbered
 
 BLOCK_CHARS = 4096
 
@@ -50,10 +51,14 @@ def _block_names(texts: DataFrame, block_chars: int) -> DataFrame:
 def name_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(row, id, text_sha256, level, name) of each row; (level, name) identifies the text."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    texts = docs.select(F.col(id_col).alias("__id"), text.alias("__text"))
+    return _name_rows(numbered(docs.select(F.col(id_col).alias("__id"), text.alias("__text")), "dedup-texts", "__row"), block_chars)
+
+
+def _name_rows(texts: DataFrame, block_chars: int) -> DataFrame:
+    """As ``name_texts``, from a written table (__row, __id, __text)."""
     names = cut(_block_names(texts, block_chars), "block-names")
     hashes = F.transform(_blocks(F.col("__text"), block_chars), lambda b: F.xxhash64(b))
-    rows = texts.select(F.monotonically_increasing_id().alias("row"), "__id", F.sha2(F.col("__text"), 256).alias("text_sha256"), hashes.alias("hashes"))
+    rows = texts.select(F.col("__row").alias("row"), "__id", F.sha2(F.col("__text"), 256).alias("text_sha256"), hashes.alias("hashes"))
     skeleton = cut(rows, "dedup-rows")
     longest = skeleton.agg(F.max(F.size("hashes"))).first()[0] or 1
     levels = math.ceil(math.log2(longest)) if longest > 1 else 0
@@ -63,8 +68,7 @@ def name_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     if not names.where("shared").isEmpty():
         # exact way for blocks with a common hash: by the block itself
         same = names.where("shared").select("h", "block", F.col("name").alias("__by_block"))
-        numbered = texts.select(F.monotonically_increasing_id().alias("row"), "__text")  # before the blocks are exploded
-        again = numbered.select("row", F.posexplode(_blocks(F.col("__text"), block_chars)).alias("pos", "block"))
+        again = texts.select(F.col("__row").alias("row"), F.posexplode(_blocks(F.col("__text"), block_chars)).alias("pos", "block"))
         by_block = again.withColumn("h", F.xxhash64("block")).join(same, ["h", "block"]).select("row", "pos", "__by_block")
         named = named.join(by_block, ["row", "pos"], "left").withColumn("name", F.coalesce("name", "__by_block")).drop("__by_block")
     current = cut(_lists(named), "names-0")
@@ -73,8 +77,8 @@ def name_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         done.append(current.where(F.size("names") == 1).select("row", F.lit(level).alias("level"), F.col("names")[0].alias("name")))
         longer = current.where(F.size("names") > 1)
         pairs = longer.select("row", F.posexplode(_pairs(F.col("names"))).alias("pos", "p")).select("row", "pos", "p.a", "p.b")
-        numbered = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("__n")).sortWithinPartitions("a", "b").select("a", "b", F.monotonically_increasing_id().alias("name"))
-        current = cut(_lists(pairs.join(cut(numbered, f"pair-names-{level + 1}"), ["a", "b"])), f"names-{level + 1}")
+        distinct = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("__n")).sortWithinPartitions("a", "b").select("a", "b", F.monotonically_increasing_id().alias("name"))
+        current = cut(_lists(pairs.join(cut(distinct, f"pair-names-{level + 1}"), ["a", "b"])), f"names-{level + 1}")
     done.append(current.select("row", F.lit(levels).alias("level"), F.col("names")[0].alias("name")))
     identity = done[0]
     for d in done[1:]:
@@ -94,9 +98,7 @@ def _pairs(names: Column) -> Column:
     return F.transform(at, lambda i: F.struct(F.element_at(names, (i * 2 + 1).cast("int")).alias("a"), F.coalesce(F.try_element_at(names, (i * 2 + 2).cast("int")), F.lit(-1)).alias("b")))
 
 
-def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(row, id, keep_id, group_size, kept, text_sha256) of each row of ``docs``."""
-    named = cut(name_texts(docs, id_col=id_col, text_col=text_col, block_chars=block_chars), "identities")
+def _groups(named: DataFrame, id_col: str) -> DataFrame:
     # rows of one level and name carry one text; the pair is the group's key
     # (written, so that the join is one that adaptive execution can split at a large group)
     groups = cut(named.groupBy("level", "name").agg(F.max(F.struct("__id", "row")).alias("keep"), F.count(F.lit(1)).alias("group_size")), "groups")
@@ -106,7 +108,16 @@ def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     )
 
 
+def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(row, id, keep_id, group_size, kept, text_sha256) of each row of ``docs``."""
+    return _groups(cut(name_texts(docs, id_col=id_col, text_col=text_col, block_chars=block_chars), "identities"), id_col)
+
+
 def drop_exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    kept = exact_duplicates(docs, id_col=id_col, text_col=text_col).where("kept").select(F.col("row").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(kept, "__row", "left_semi").drop("__row")
+    row = free_name(docs, "__row")
+    rows = numbered(docs, "dedup-rows-whole", row)
+    texts = rows.select(F.col(row).alias("__row"), F.col(id_col).alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
+    named = cut(_name_rows(texts, BLOCK_CHARS), "identities")
+    kept = _groups(named, id_col).where("kept").select(F.col("row").alias(row))
+    return rows.join(kept, row, "left_semi").select(*docs.columns)

@@ -1,7 +1,10 @@
 """Vectorised word kernels over Arrow string columns.
 
 Words are maximal runs of bytes outside ``[\\x20\\x09-\\x0D]``.  Every hash is a
-function of the word's bytes alone, so it is the same on every executor.
+function of the word's bytes alone, so it is the same on every executor.  Operators that
+work on hashes tell words (shingles) apart by 64 (63) bits; the word hash is a polynomial
+modulo 2**64, for which pairs of words of a thousand characters and more with one hash
+can be constructed on purpose, but do not come about by chance.
 """
 
 from __future__ import annotations

@@ -7,16 +7,18 @@ import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _KEY = "spark.checkpoint.dir"
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; one of our own where it is unset (single machine)."""
+    """The folder named by ``spark.checkpoint.dir``; one of our own where it is unset, on a single machine only."""
     found = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{_KEY} is not set: it must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="crestline-")
         spark.conf.set(_KEY, found)
     return found.rstrip("/")
@@ -34,7 +36,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
     The rows are then fixed (ids made from partition numbers cannot change when a task
     runs again), lineage ends here, and the shuffle files behind it are dropped.  The
-    table goes when the Python process ends.
+    table goes when it is dropped, or when the Python process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/crestline/{name}-{uuid.uuid4().hex}"
@@ -42,9 +44,35 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     try:
         if before is not None:
             spark.conf.set(_CLEAN, "true")
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         if before is not None:
             spark.conf.set(_CLEAN, before)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._crestline_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Removes tables made by ``cut`` that no later read needs."""
+    for t in tables:
+        _remove(t.sparkSession, t._crestline_path)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores behind it as tell it from all columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(df: DataFrame, name: str, row: str = "row") -> DataFrame:
+    """``df`` and a number of each row, written once.
+
+    Numbers made from partitions are only good within one scan: a later scan of the same
+    files can be split otherwise (after an executor is lost or added).  All that refers to
+    rows by number must read them from this table.
+    """
+    return cut(df.select(F.monotonically_increasing_id().alias(row), "*"), name)
