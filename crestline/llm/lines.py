@@ -6,7 +6,8 @@ lines of ``min_docs`` different texts reach, a word that fewer than ``min_docs``
 have at its place is a variable field too, which gives the line its template.  Lines
 whose template recurs in ``min_docs`` different texts are dropped, wherever they are,
 if at most ``max_variable`` of the template's words are variable and the line has
-``min_words`` words; all other lines stay, so prose that only begins alike does.
+``min_words`` words (one: lines of every length); all other lines stay, so prose that
+only begins alike does.
 
 Leaves, places and templates are counted over distinct lines with their multiplicity,
 so a line that a third of all documents share is one row after the first aggregation.
@@ -15,49 +16,60 @@ Equal texts count as one document, so copies of a text do not make its lines rec
 Defined cases: a null text counts as empty and has one line without words; lines without
 words always stay; a text whose lines all go becomes empty; repeated rows are cleaned
 each; an empty table gives no rows; extra columns are carried through by ``clean_lines``
-(``n_lines`` and ``n_dropped`` replace columns of these names).  ``docs`` must list its
-rows in the same order whenever it is read, as a file scan does.
+(``n_lines`` and ``n_dropped`` replace columns of these names).  Rows are numbered in one
+written table, which all later steps read.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .store import cut
+from .store import cut, free_name, numbered
 
 LEADING = 3
 VARIABLE = "<*>"
-_WHITE = " \t\x0b\x0c\r"
+_WHITE = r"\t\x0B\x0C\r"
 
 
-def _words(line: Column) -> Column:
-    """Words of a line, those with a digit masked; only lines with a digit are looked through for them."""
-    words = F.filter(F.split(F.translate(line, _WHITE, " " * len(_WHITE)), " ", -1), lambda w: w != "")
-    plain = F.translate(line, "0123456789", "") == line
-    return F.when(plain, words).otherwise(F.transform(words, lambda w: F.when(F.translate(w, "0123456789", "") == w, w).otherwise(F.lit(VARIABLE))))
+def _masked(line: Column) -> Column:
+    """Words of a line with one space between them, those with a digit masked; only odd lines are rewritten.
 
+    Both patterns look at each character a bounded number of times, however long a word is.
+    """
+    plain = F.when(line.rlike(f"[{_WHITE}]|  |^ | $"), F.trim(F.regexp_replace(line, f"[ {_WHITE}]+", " "))).otherwise(line)
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(plain, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*", VARIABLE)).otherwise(plain)
 
-def _exploded(docs: DataFrame, text_col: str) -> DataFrame:
-    """(row, doc, pos, words) of each line with words."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), text.alias("__text"))
-    # words are made inside the generator: a filter on them cannot be pushed below it and make them again
-    return rows.select("row", F.xxhash64("__text").alias("doc"), F.posexplode(F.transform(F.split("__text", "\n", -1), _words)).alias("pos", "words"))
 
+def _exploded(texts: DataFrame, min_words: int) -> DataFrame:
+    """(row, doc, pos, masked, size) of each line with so many words, and one at least."""
+    # masked inside the generator: a filter cannot be pushed below it and mask again
+    masked = texts.select("row", F.xxhash64("text").alias("doc"), F.posexplode(F.transform(F.split("text", "\n", -1), _masked)).alias("pos", "masked"))
+    size = F.length("masked") - F.length(F.replace(F.col("masked"), F.lit(" "), F.lit(""))) + 1
+    return masked.where("masked <> ''").withColumn("size", size).where(F.col("size") >= min_words)
 
-def _leaf(words: Column) -> Column:
-    return F.xxhash64(F.size(words), F.slice(words, 1, LEADING))
 
+def _leaf(masked: Column, size: Column) -> Column:
+    return F.xxhash64(size, F.substring_index(masked, " ", LEADING))
 
-def recurring_lines(docs: DataFrame, *, min_docs: int = 10, max_variable: float = 0.3, min_words: int = 5, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+
+def recurring_lines(docs: DataFrame, *, min_docs: int = 10, max_variable: float = 0.3, min_words: int = 1, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """((row, pos) of the lines to drop, (line, template, docs) of the templates that recur)."""
-    lines = _exploded(docs, text_col).where(F.size("words") >= min_words)
-    places = cut(lines.select("row", "doc", "pos", _leaf(F.col("words")).alias("leaf"), F.xxhash64("words").alias("line")), "line-places")
+    return _recurring(_texts(docs.select(text_col), text_col), min_docs, max_variable, min_words)
+
+
+def _texts(docs: DataFrame, text_col: str) -> DataFrame:
+    return numbered(docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")), "line-texts")
+
+
+def _recurring(texts: DataFrame, min_docs: int, max_variable: float, min_words: int) -> tuple[DataFrame, DataFrame]:
+    """As ``recurring_lines``, from a written table (row, text)."""
+    lines = _exploded(texts, min_words).withColumn("leaf", _leaf(F.col("masked"), F.col("size")))
+    places = cut(lines.select("row", "doc", "pos", "leaf", F.xxhash64("masked").alias("line")), "line-places")
     wide = places.select("leaf", "doc").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs)
     wide = cut(wide.select("leaf"), "line-leaves")
-    distinct = lines.select(_leaf(F.col("words")).alias("leaf"), "words").join(wide, "leaf")
-    distinct = distinct.groupBy("leaf", F.xxhash64("words").alias("line")).agg(F.first("words").alias("words"), F.count(F.lit(1)).alias("n"))
-    distinct = cut(distinct, "distinct-lines")
+    distinct = lines.select("leaf", "masked").join(wide, "leaf")
+    distinct = distinct.groupBy("leaf", "masked").agg(F.count(F.lit(1)).alias("n"))
+    distinct = cut(distinct.select("leaf", F.xxhash64("masked").alias("line"), F.split("masked", " ").alias("words"), "n"), "distinct-lines")
     words = distinct.select("leaf", "line", "n", F.posexplode("words").alias("at", "word"))
     support = words.groupBy("leaf", "at", "word").agg(F.sum("n").alias("support"))
     known = cut(support.where((F.col("support") >= min_docs) & (F.col("word") != VARIABLE)).select("leaf", "at", "word"), "line-constants")
@@ -68,29 +80,30 @@ def recurring_lines(docs: DataFrame, *, min_docs: int = 10, max_variable: float
     usable = templates.where(variable <= max_variable * F.size("template")).select("line", F.array_join("template", " ").alias("template"))
     usable = cut(usable, "line-templates")
     seen = places.join(usable, "line").select("template", "doc").distinct()
-    recurring = seen.groupBy("template").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs)
+    # written, so that the join is one that adaptive execution can split at a template of many lines
+    recurring = cut(seen.groupBy("template").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs), "recurring-templates")
     dropped = cut(usable.join(recurring, "template"), "dropped-lines")
     return places.join(dropped.select("line"), "line", "left_semi").select("row", "pos"), dropped
 
 
-def clean_lines(docs: DataFrame, *, min_docs: int = 10, max_variable: float = 0.3, min_words: int = 5, text_col: str = "text") -> DataFrame:
+def clean_lines(docs: DataFrame, *, min_docs: int = 10, max_variable: float = 0.3, min_words: int = 1, text_col: str = "text") -> DataFrame:
     """``docs`` without the recurring lines, with ``n_lines`` and ``n_dropped``."""
-    drop, _ = recurring_lines(docs, min_docs=min_docs, max_variable=max_variable, min_words=min_words, text_col=text_col)
-    per_row = cut(drop.groupBy("row").agg(F.collect_set("pos").alias("__drop")), "dropped-places")
     kept = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    whole = docs.select(F.monotonically_increasing_id().alias("row"), *kept, text.alias("__text"))
+    row, gone_at, text = (free_name(docs, c) for c in ("__row", "__drop", "__text"))
+    rows = numbered(docs.select(*kept, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(text)), "line-rows", row)
+    drop, _ = _recurring(rows.select(F.col(row).alias("row"), F.col(text).alias("text")), min_docs, max_variable, min_words)
+    per_row = cut(drop.groupBy(F.col("row").alias(row)).agg(F.collect_set("pos").alias(gone_at)), "dropped-places")
     # the rows with lines to drop grow with the corpus, so they are never broadcast: one plan at every size
-    whole = whole.join(per_row.hint("merge"), "row", "left")
-    lines = F.split("__text", "\n", -1)
-    gone = F.map_from_arrays(F.col("__drop"), F.transform("__drop", lambda p: F.lit(True)))
+    whole = rows.join(per_row.hint("merge"), row, "left")
+    lines = F.split(text, "\n", -1)
+    gone = F.map_from_arrays(F.col(gone_at), F.transform(gone_at, lambda p: F.lit(True)))
     left = F.transform(F.array(gone), lambda m: F.filter(lines, lambda line, i: ~F.coalesce(F.try_element_at(m, i), F.lit(False))))[0]
-    cleaned = F.when(F.col("__drop").isNull(), F.col("__text")).otherwise(F.array_join(left, "\n"))
-    dropped = F.coalesce(F.size("__drop"), F.lit(0))
-    return whole.select(*kept, cleaned.alias(text_col), F.size(lines).alias("n_lines"), F.when(F.col("__drop").isNull(), 0).otherwise(dropped).alias("n_dropped"))
+    cleaned = F.when(F.col(gone_at).isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))
+    n_dropped = F.when(F.col(gone_at).isNull(), 0).otherwise(F.size(gone_at))
+    return whole.select(*kept, cleaned.alias(text_col), F.size(lines).alias("n_lines"), n_dropped.alias("n_dropped"))
 
 
-def oracle_sql(min_docs: int = 10, max_variable: float = 0.3, min_words: int = 5) -> str:
+def oracle_sql(min_docs: int = 10, max_variable: float = 0.3, min_words: int = 1) -> str:
     """DuckDB SQL for ``clean_lines`` over documents."""
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),

@@ -48,17 +48,11 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_lines, n_dropped and the cleaned text's hash of every document."""
+    """doc_id, n_lines, n_dropped and the cleaned text's hash of every document; recurring lines of every length go."""
     cleaned = lines.clean_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
 
 
-def op6_line_dedup_all_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As op6_line_dedup, with recurring lines of every number of words dropped."""
-    cleaned = lines.clean_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=1)
-    return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
-
-
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rule, verdict and posterior of every document."""
     return quality.quality(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -107,7 +101,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_ngram_jaccard": op4_ngram_jaccard,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_line_dedup": op6_line_dedup,
-        "op6_line_dedup_all_lengths": op6_line_dedup_all_lengths,
         "op7_quality": op7_quality,
         "op8_url_filter": op8_url_filter,
         "op9_lm_score": op9_lm_score,
@@ -116,4 +109,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.oracle_sql(), "op5_exact_dedup": OP5_SQL, "op6_line_dedup": lines.oracle_sql(), "op6_line_dedup_all_lengths": lines.oracle_sql(min_words=1)}
+    return {"op2_mixing": mixing.oracle_sql(), "op5_exact_dedup": OP5_SQL, "op6_line_dedup": lines.oracle_sql()}
