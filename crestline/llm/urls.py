@@ -141,8 +141,11 @@ def calibrate(bins: list[tuple[int, int, int]]) -> tuple[float, float]:
     return slope, offset
 
 
-def filter_urls(pages: DataFrame, rules: Sequence[Rule], *, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """(id, host, path, rule, verdict, score, probability) of each row; score and probability are of the models."""
+def filter_urls(pages: DataFrame, rules: Sequence[Rule], *, id_col: str = "page_id", url_col: str = "url", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+    """(id, host, path, rule, verdict, score, probability) of each row; score and probability are of the models.
+
+    The scores of up to ``broadcast_windows`` distinct windows are broadcast; more are joined by a shuffle.
+    """
     host, path = split_url(F.col(url_col))
     parsed = pages.select(F.col(id_col).alias("__id"), host.alias("host"), path.alias("path"), whole_url(F.col(url_col)).alias("__text"))
     parsed = parsed.withColumn("__best", best_rule(F.col("host"), F.col("path"), rules))
@@ -155,8 +158,8 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], *, id_col: str = "page_
     counted = cut(placed.groupBy("window", "use", "accepted").agg(F.count(F.lit(1)).alias("n")), "url-windows")
     counts, contexts = fit_windows(counted.where("use = 'learn'"))
     ratios = cut(score_windows(counted.select("window").distinct(), counts, contexts), "url-ratios")
-    few = ratios.count() <= BROADCAST_WINDOWS
-    scored = placed.join(F.broadcast(ratios) if few else ratios, "window")
+    few = ratios.limit(broadcast_windows + 1).count() <= broadcast_windows
+    scored = placed.join(F.broadcast(ratios) if few else ratios.hint("merge"), "window")
     scores = cut(scored.groupBy("row").agg(F.avg("ratio").alias("score"), F.first("use").alias("use"), F.first("accepted").alias("accepted")), "url-scores")
     hold = scores.where("use = 'calibrate'").groupBy(F.round(F.col("score") / _BIN).cast("int").alias("bin")).agg(F.sum(F.col("accepted").cast("int")).alias("a"), F.sum((~F.col("accepted")).cast("int")).alias("r"))
     slope, offset = calibrate(sorted((b["bin"], b["a"], b["r"]) for b in hold.collect()))
