@@ -1,6 +1,8 @@
 import collections
+import hashlib
 import math
 import random
+import re
 import zlib
 
 import duckdb
@@ -108,6 +110,34 @@ def test_poisson_inverse(spark):
         assert r["k"] == k
 
 
+def test_large_rates_are_poisson(spark):
+    """Above the largest rate of one draw, several hashed draws add up: to the loop's value, and to a Poisson spread."""
+    got = spark.range(4000).select("id", F.lit(1730.0).alias("rate")).select("id", mixing.poisson_copies(7, F.col("rate"), F.col("id")).alias("n")).collect()
+
+    def uniform(*key):
+        return (int(hashlib.md5("\x1f".join(map(str, key)).encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
+
+    for r in got[:40]:
+        k = 0
+        for j in range(1, 5):
+            p = c = math.exp(-1730.0 / 4)
+            i = 0
+            while uniform(7, r["id"], j) > c:
+                i += 1
+                p *= 1730.0 / 4 / i
+                c += p
+            k += i
+        assert r["n"] == k
+    n = np.array([r["n"] for r in got])
+    assert abs(n.mean() - 1730) < 3 and 0.9 < n.var() / 1730 < 1.1
+
+
+def test_equal_rows_are_dealt_out(spark):
+    docs = spark.createDataFrame([(None, "same text of all", "a")] * 400, "doc_id long, text string, source string")
+    parts = mixing.mix_sources(docs, floor=4.0).select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert len(parts) > 1 and max(r["count"] for r in parts) < 0.6 * sum(r["count"] for r in parts)
+
+
 def test_mixing(spark):
     docs = cases.table(spark, extra=True)
     out = mixing.mix_sources(docs, seed=3)
@@ -162,6 +192,25 @@ def test_lines(spark):
     assert lines.clean_lines(cases.empty(spark)).count() == 0
 
 
+def test_lines_with_clashing_names(spark):
+    docs = cases.table(spark, extra=True)
+    for name in ("__row", "__text", "__drop", "line", "leaf", "doc"):
+        docs = docs.withColumn(name, docs["lang"])
+    out = lines.clean_lines(docs, min_docs=2)
+    assert set(out.columns) == set(docs.columns) | {"n_lines", "n_dropped"} and out.count() == docs.count()
+    plain = lines.clean_lines(docs.select("doc_id", "text"), min_docs=2)
+    key = lambda df: collections.Counter((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in df.collect())
+    assert key(out) == key(plain) and out.where("n_dropped > 0").count()
+
+
+def test_masked_lines_in_linear_time(spark):
+    odd = ["a1 b  c\t2", " x ", "\x0b\x0c\r", "", "no digits", "x" * 200_000 + " 7", "9" * 100_000, "é٣ ٣x 3x"]
+    df = spark.createDataFrame([(t,) for t in odd], "t string")
+    got = [r[0] for r in df.select(lines._masked(df.t)).collect()]
+    words = [[w for w in re.split("[ \t\x0b\x0c\r]", t) if w] for t in odd]
+    assert got == [" ".join("<*>" if re.search("[0-9]", w) else w for w in ws) for ws in words]
+
+
 def best_chain(x, y):
     n = len(x)
     score = [1.0] * n

@@ -1,5 +1,6 @@
 import collections
 import math
+import string
 import zlib
 
 import numpy as np
@@ -50,7 +51,7 @@ def test_toxicity_cases(spark):
     p = toxicity.FtrlParams(bits=12, max_rows=30, l1=0.1)
     labels = docs.where("doc_id IS NOT NULL").select("doc_id", (F.col("text").contains("w1")).cast("int").alias("toxic")).distinct()
     model = toxicity.train(docs, labels, p)
-    assert 0 < model.n_rows <= 40 and len(model.weight) <= 1 << 12
+    assert 0 < model.n_rows <= 30 and len(model.weight) <= 1 << 12
     scored = toxicity.score(docs, model, score_col="score")
     assert scored.count() == docs.count() and sorted(scored.columns) == sorted(docs.columns)
     w = model.dense()
@@ -60,10 +61,73 @@ def test_toxicity_cases(spark):
             expect += w[np.unique(idx)].sum()
         assert float(r["score"]) == pytest.approx(1 / (1 + math.exp(-max(-35, min(35, expect)))))
     none = toxicity.toxicity(docs, labels.where("false"), p)
-    assert {r["predicted"] for r in none.collect()} == {0}
+    assert {(r["predicted"], r["score"] < 1e-9) for r in none.collect()} == {(0, True)}
     assert toxicity.toxicity(cases.empty(spark), labels, p).count() == 0
 
 
+def loop_features(text, bits):
+    """Distinct coordinates of words, pairs and pairs one word apart, one by one."""
+    found = "".join(c.lower() if "A" <= c <= "Z" else c if ord(c) > 127 or c.isalnum() else " " if c in string.whitespace + string.punctuation else c for c in text or "").split(" ")
+    hashes = [int(kernel.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]))[0][0]) for w in found if w]
+    mask = (1 << 64) - 1
+
+    def mix(h):
+        h = (h ^ (h >> 30)) * 0xBF58476D1CE4E5B9 & mask
+        h = (h ^ (h >> 27)) * 0x94D049BB133111EB & mask
+        return h ^ (h >> 31)
+
+    every = hashes + [mix((a * int(salt) + b) & mask) for gap, salt in ((1, toxicity._PAIR), (2, toxicity._SKIP)) for a, b in zip(hashes, hashes[gap:])]
+    return {h >> (64 - bits) for h in every}
+
+
+def loop_ftrl(rows, p):
+    """FTRL-proximal by coordinate, with a bias that has no L1 term."""
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(i):
+        l1 = 0.0 if i == "bias" else p.l1
+        if abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - math.copysign(l1, z[i])) / ((p.beta + math.sqrt(n[i])) / p.alpha + p.l2)
+
+    for _ in range(p.epochs):
+        for coordinates, y in rows:
+            w = {i: weight(i) for i in [*coordinates, "bias"]}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            g *= p.positive_weight if y else 1.0
+            for i in w:
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / p.alpha * w[i]
+                n[i] += g * g
+    return {i: weight(i) for i in list(z)}
+
+
+def test_toxicity_against_loops(spark):
+    """Features, the order of the sample, FTRL and scores against loops over words and coordinates."""
+    p = toxicity.FtrlParams(bits=14, max_rows=40, l1=0.05)
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(["good", "Day", "to", "you,", "vile", "fool!", "x1"], int(rng.integers(1, 12)))) for _ in range(50)] + ["", None, "one"]
+    rows = [(i, t, int("vile" in (t or "") and rng.random() < 0.9)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows + [rows[5], rows[5]], "doc_id long, text string, toxic int")
+    model = toxicity.train(docs, docs.select("doc_id", "toxic"), p)
+    hashed = {r["doc_id"]: r["h"] for r in docs.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    sample = sorted(hashed, key=lambda i: (hashed[i], i))[: p.max_rows]
+    order = sorted(sample, key=lambda i: int(kernel.mix(np.array([i], np.int64).astype(np.uint64))[0]))
+    expect = loop_ftrl([(loop_features(texts[i], p.bits), rows[i][2]) for i in order], p)
+    assert model.n_rows == len(order) and model.bias == pytest.approx(expect.pop("bias"))
+    got = dict(zip(model.index.tolist(), model.weight.tolist()))
+    assert got == pytest.approx({i: w for i, w in expect.items() if w})
+    for r in toxicity.score(docs, model).collect():
+        total = model.bias + sum(got.get(i, 0.0) for i in loop_features(r["text"], p.bits))
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-total)))
+
+
+def test_training_sample_is_bounded_by_ids(spark):
+    """Rows of one id, however many, are one training row; without labels nothing is toxic."""
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(300)] + [(2, "other words")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0)], "doc_id long, toxic int")
+    assert toxicity.train(docs, labels, toxicity.FtrlParams(bits=10, max_rows=5)).n_rows == 2
+
+
 def counts(text):
     w = cases.words(text)
     windows = collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
@@ -105,6 +169,13 @@ def test_expectation_maximisation_recovers_rates():
     assert np.mean([verdict[p] == g for p, g in zip(zip(*(c.tolist() for c in cols)), good)]) > 0.97
 
 
+def test_url_ways_are_equal(spark):
+    """Windows are broadcast or shuffled with the same result."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    key = lambda df: sorted((r["page_id"], r["verdict"], round(r["score"], 9)) for r in df.collect())
+    assert key(urls.filter_urls(pages, queries.URL_RULES, broadcast_windows=0)) == key(urls.filter_urls(pages, queries.URL_RULES))
+
+
 def test_urls_parse_and_rules(spark):
     cases_ = [
         (1, "http://WWW.Example.com/en/1?x#y"), (2, "https://a.example.com/en/"), (3, "https://example.com/EN/"), (4, "http://x.net/es/a"), (5, "http://net/fr/"),
@@ -200,22 +271,128 @@ def test_lm_rare_words_are_exact(spark, monkeypatch):
     assert few == base()
 
 
-def test_lm_probabilities_sum_to_one():
-    words = kernel.mix(np.arange(1, 6, dtype=np.uint64))
-    words.sort()
-    v = lm_score.Vocabulary(words, np.array([9, 5, 3, 2, 1]), np.array([0, 1, -1, 0, -1]), np.array([0, 0, -1, 1, -1]), 30, 9)
-    rng = np.random.default_rng(0)
-    w = lm_score.Weights.zero()
-    w.by_class += rng.normal(0, 0.3, w.by_class.shape).astype(np.float32)
-    w.by_word += rng.normal(0, 0.3, w.by_word.shape).astype(np.float32)
-    one, two = words[:1], words[1:2]
-    z = w.by_class[lm_score.context_rows(one, two)[:, 0]].sum(axis=0) + v.class_bias
-    p_class = np.exp(z) / np.exp(z).sum()
-    total = p_class[lm_score.CLASSES] * (sum(v.counts[v.cls < 0] + 1) + (30 - 20) + (9 - 5) + 1) / v.other_total
-    for c in range(lm_score.CLASSES):
-        q = np.exp(w.by_word[lm_score.word_rows(one, np.array([c]))[0]] + v.word_bias[c])
-        total += p_class[c] * (q / q.sum()).sum()
-    assert total == pytest.approx(1.0, abs=1e-4)
+def small_vocabulary(words, counts, placed=None):
+    """A vocabulary whose ``placed`` most frequent words have leaves of their own."""
+    order = np.lexsort((words, -counts))[lm_score.PLACED :]
+    leaf, inverse = np.unique(lm_score.deep_code(words[order], 5), return_inverse=True)
+    mass = np.bincount(inverse, weights=counts[order] + 1.0, minlength=len(leaf))
+    return lm_score.Vocabulary.build(words, counts, leaf, mass, int(counts.sum()), len(words), 5)
+
+
+def noisy(v, seed=0):
+    rng = np.random.default_rng(seed)
+    w = lm_score.Weights.zero(v.bits)
+    w.root += rng.normal(0, 0.3, w.root.shape).astype(np.float32)
+    w.inner += rng.normal(0, 0.3, w.inner.shape).astype(np.float32)
+    return w
+
+
+@pytest.mark.parametrize("few", [False, True])
+def test_lm_probabilities_sum_to_one(monkeypatch, few):
+    """Over all words and the unseen one, whatever the weights; with few leaves of their own, most words share leaves."""
+    if few:
+        monkeypatch.setattr(lm_score, "PLACED", 7)
+    words = kernel.mix(np.arange(1, 401, dtype=np.uint64))
+    counts = np.arange(400, 0, -1) ** 2
+    v = small_vocabulary(words, counts)
+    w = noisy(v)
+    code = np.append(v.code(words), lm_score.deep_code(np.array([lm_score._UNSEEN], np.uint64), 5))
+    assert len(np.unique(v.code(words[: lm_score.PLACED]))) == min(400, lm_score.PLACED)
+    for one, two in ((words[:1], words[1:2]), (words[9:10], words[3:4])):
+        p = 10 ** lm_score.path_score(v, w, code, np.repeat(one, 401), np.repeat(two, 401))
+        share = np.where(v.is_deep(code), (np.append(counts, 0) + 1.0) / np.maximum(v.leaf_mass[np.maximum(code - (lm_score.DEEP_FIRST << 16), 0)], 1.0), 1.0)
+        assert (p * share).sum() == pytest.approx(1.0, abs=1e-4)
+
+
+def test_lm_training_against_loops(monkeypatch):
+    """Gradient steps and scores, token by token."""
+    monkeypatch.setattr(lm_score, "BATCH", 7)
+    rng = np.random.default_rng(5)
+    text = " ".join(f"w{int(x)}" for x in rng.random(60) ** 2 * 30)
+    col = pa.array([text, "w1 w2"])
+    stream = list(lm_score.token_stream(col))
+    token, one, two = (np.concatenate([s[i] for s in stream]) for i in range(3))
+    names, n = np.unique(token, return_counts=True)
+    monkeypatch.setattr(lm_score, "PLACED", 12)
+    v = small_vocabulary(names, n)
+    start = noisy(v, 1)
+    w, used = start.copy(), (np.zeros(len(start.root)), np.zeros(len(start.inner)))
+    lm_score.train_on(col, v, w, used)
+
+    def path(h):
+        code = int(v.code(np.array([h], np.uint64))[0])
+        digits = [(code >> (4 * (4 - k))) & 15 for k in range(5)]
+        return digits[: int(lm_score.depth_of(np.array([code]), 5)[0])]
+
+    def logits(tables, i, digits, level):
+        if level == 1:
+            rows = [("root", int(r[0])) for r in lm_score.root_rows(one[i : i + 1], two[i : i + 1], v.bits)]
+            bias = v.bias[0][0]
+        else:
+            node = 0
+            for d in digits[: level - 1]:
+                node = node * 16 + d
+            rows = [("inner", int(lm_score.inner_rows(one[i : i + 1], np.array([node]), level, v.bits)[0]))]
+            bias = v.bias[level - 1][node - lm_score._first_node(level)]
+        z = [float(bias[j]) + sum(float(tables[t][r][j]) for t, r in rows) for j in range(16)]
+        total = sum(math.exp(x) for x in z)
+        return rows, [math.exp(x) / total for x in z]
+
+    tables = {"root": start.root.astype(float).copy(), "inner": start.inner.astype(float).copy()}
+    uses = collections.Counter()
+    for lo in range(0, len(token), 7):
+        batch = range(lo, min(lo + 7, len(token)))
+        for level in range(1, 6):
+            moves = []
+            for i in batch:
+                digits = path(token[i])
+                if len(digits) >= level:
+                    rows, p = logits(tables, i, digits, level)
+                    moves += [(r, [p[j] - (j == digits[level - 1]) for j in range(16)]) for r in rows]
+            uses.update(r for r, _ in moves)
+            for (t, r), g in moves:
+                for j in range(16):
+                    tables[t][r][j] -= lm_score.RATE / math.sqrt(1 + uses[(t, r)]) * g[j]
+    assert np.abs(tables["root"] - w.root).max() < 1e-4 and np.abs(tables["inner"] - w.inner).max() < 1e-4
+    assert used[0].sum() == 3 * len(token) and {r for t, r in uses if t == "inner"} == set(np.flatnonzero(used[1]).tolist())
+    expect = 0.0
+    for i in range(len(token)):
+        digits = path(token[i])
+        for level in range(1, len(digits) + 1):
+            expect += math.log10(logits({"root": w.root, "inner": w.inner}, i, digits, level)[1][digits[level - 1]])
+        if len(digits) == 5:
+            code = v.code(token[i : i + 1])
+            expect += math.log10((n[names == token[i]][0] + 1) / v.mass(code)[0])
+    assert sum(s[3].sum() for s in lm_score.score_column(col, v, w)) == pytest.approx(expect, rel=1e-4)
+
+
+def test_lm_average_against_loops():
+    """Rows become the mean over tasks by use; rows that no task used stay."""
+    v = small_vocabulary(kernel.mix(np.arange(1, 50, dtype=np.uint64)), np.arange(49, 0, -1))
+    start, rng, tasks = noisy(v), np.random.default_rng(2), []
+    for seed in range(3):
+        used = tuple(np.where(rng.random(1 << v.bits) < 0.5, rng.integers(1, 9, 1 << v.bits), 0).astype(float) for _ in range(2))
+        tasks.append((noisy(v, seed + 7), used))
+    parts = collections.defaultdict(list)
+    for w, used in tasks:
+        for block, *sums in lm_score.used_rows(start, w, used):
+            parts[block].append(tuple(sums))
+    # added up in two steps, as a tree of tasks does
+    got = lm_score.averaged(start, {k: lm_score.add_rows([lm_score.add_rows(p[:2]), *p[2:]]) for k, p in parts.items()})
+    for name, t in (("root", 0), ("inner", 1)):
+        n = sum(used[t] for _, used in tasks)
+        mean = sum(getattr(w, name) * used[t][:, None] for w, used in tasks) / np.maximum(n, 1)[:, None]
+        assert np.abs(getattr(got, name) - np.where(n[:, None] > 0, mean, getattr(start, name))).max() < 1e-4
+
+
+def test_lm_untrained_model_is_the_base(spark):
+    docs = cases.table(spark, n=30, seed=5)
+    out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
+    counts, v, w = lm_score.fit(docs.where(~out), rounds=0)
+    for r in lm_score.score(docs, counts, v, w, out).collect():
+        assert r["score"] == pytest.approx(r["base_score"], rel=1e-4, abs=1e-4)
+    held = docs.where("crc32(cast(doc_id as string)) % 7 = 2")
+    assert held.count() and all(-1e-3 < r["score"] <= 0 == r["base_score"] for r in lm_score.lm_scores(held).collect())
 
 
 def test_lm_beats_the_base_on_held_out_text(spark):

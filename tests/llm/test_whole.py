@@ -137,5 +137,5 @@ def test_short_lines_that_recur_are_dropped(spark):
     path = f"{spark.conf.get('spark.checkpoint.dir')}/whole-lines"
     rows = [(i, f"All rights reserved.\nown line {'abcdefghijkl'[i]}\n\n7") for i in range(12)]
     spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.mode("overwrite").parquet(f"{path}/documents.parquet")
-    got = queries.queries()["op6_line_dedup_all_lengths"](spark, path).collect()
+    got = queries.queries()["op6_line_dedup"](spark, path).collect()
     assert len(got) == 12 and {(r["n_lines"], r["n_dropped"]) for r in got} == {(4, 1)}
