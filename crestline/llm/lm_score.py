@@ -499,7 +499,7 @@ def score(docs: DataFrame, counts: DataFrame, v: Vocabulary, w: Weights, held_ou
     return joined.select(
         F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(v.tokens).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        (F.col("model") + F.coalesce("more_model", F.lit(0.0))).alias("score"),
+        F.least(F.col("model") + F.coalesce("more_model", F.lit(0.0)), F.lit(0.0)).alias("score"),
     )
 
 
