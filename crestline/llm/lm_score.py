@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .kernel import U, mix, rows_of_words
-from .store import cut
+from .store import collected, cut
 
 BRANCH, _SHIFT = 16, 4
 #: (first class, classes, depth) of the classes whose leaves are single frequent words; the rest are deep.
@@ -444,7 +444,7 @@ def train_round(texts: DataFrame, v: Vocabulary, w: Weights, tasks: int) -> Weig
         sums = sums.withColumn("part", F.col("part") % tasks).groupBy("block", "part").applyInArrow(add, schema)
         if tasks == 1:
             break
-    found = cut(sums, "lm-round").toArrow()  # written, so that the round's shuffle files go
+    found = collected(sums)
     sent.unpersist()
     return averaged(w, {r["block"]: sums_of(r["at"], r["n"], r["total"]) for r in found.to_pylist()})
 

@@ -6,7 +6,9 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _KEY = "spark.checkpoint.dir"
@@ -31,6 +33,25 @@ def _remove(spark: SparkSession, path: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextlib.contextmanager
+def _cleaned(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs inside are dropped when it ends."""
+    before = spark.conf.get(_CLEAN, None)
+    try:
+        if before is not None:
+            spark.conf.set(_CLEAN, "true")
+        yield
+    finally:
+        if before is not None:
+            spark.conf.set(_CLEAN, before)
+
+
+def collected(df: DataFrame) -> pa.Table:
+    """A table of proven small size on the driver; the shuffle files behind it are dropped."""
+    with _cleaned(df.sparkSession):
+        return df.toArrow()
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read again.
 
@@ -40,14 +61,8 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/crestline/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEAN, None)
-    try:
-        if before is not None:
-            spark.conf.set(_CLEAN, "true")
+    with _cleaned(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        if before is not None:
-            spark.conf.set(_CLEAN, before)
     atexit.register(_remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._crestline_path = path
