@@ -238,16 +238,6 @@ def test_chains_are_best():
         assert max(value(p) for p in found) >= best_chain(x.tolist(), y.tolist()) - 1e-9
 
 
-def test_minimizers_cover_windows():
-    rng = np.random.default_rng(0)
-    for n in (0, 1, 5, 16, 17, 40, 300):
-        h = rng.integers(0, 1 << 63, n).astype(np.uint64)
-        at = set(passages.minimizers(h, 16).tolist())
-        for lo in range(max(0, n - 15)):
-            assert int(np.argmin(h[lo : lo + 16])) + lo in at
-        assert bool(at) == (n > 0)
-
-
 def test_planted_passages(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
