@@ -174,6 +174,21 @@ def test_edited_passages_are_found(spark):
     assert all(r >= (0.95 if share == 0.10 else 0.9) for (_, share), r in recall.items()), recall
 
 
+def test_merged_passages_against_sets():
+    rng = random.Random(3)
+    for _ in range(300):
+        found = [(rng.randrange(60), rng.randint(5, 30), rng.randrange(99), 5, rng.randrange(30), rng.random() < 0.5) for _ in range(rng.randint(0, 9))]
+        out = passages.merged(found)
+        for exact in (False, True):
+            cover = lambda ps: {i for s, n, *_, e in ps if e == exact for i in range(s, s + n)}
+            assert cover(out) == cover(found)
+        whole = sorted(p[:2] for p in out if not p[5])
+        assert all(a + n <= b for (a, n), (b, _) in zip(whole, whole[1:]))
+        runs = [(p[0], p[0] + p[1]) for p in out if p[5]]
+        for s, n, *_, exact in found:
+            assert not exact or sum(a <= s and s + n <= b for a, b in runs) == 1 or (s, s + n) in runs or any(a <= s and s + n <= b for a, b in runs)
+
+
 def test_row_passages_cover_what_all_chains_cover():
     """Leaving out lone anchors inside found passages loses no word of a repetitive text."""
     rng = np.random.default_rng(9)
