@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import cases
-from crestline.llm import components, exact_dedup, jaccard
+from crestline.llm import components, exact_dedup, jaccard, lines, passages, store
 
 
 def rows_of(df):
@@ -134,6 +134,49 @@ def test_links_in_one_unit_against_pairs():
                 assert (found[i] == found[j]) == (find(i) == find(j))
 
 
+def test_scans_that_are_split_otherwise(spark, monkeypatch):
+    """The number of cores, and so the borders of file splits, changes between any two scans."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").repartition(6, "doc_id")
+    path = f"{spark.conf.get('spark.checkpoint.dir')}/split-otherwise"
+    docs.write.mode("overwrite").parquet(path)
+    docs = spark.read.parquet(path)
+
+    def results():
+        exact = {r["doc_id"]: (r["keep_id"], r["kept"]) for r in exact_dedup.exact_duplicates(docs).collect()}
+        near = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(docs).collect()}
+        left = [sorted(r["doc_id"] for r in f(docs).collect()) for f in (exact_dedup.drop_exact_duplicates, jaccard.drop_near_duplicates)]
+        cleaned = {r["doc_id"]: r["text"] for r in lines.clean_lines(docs).collect()}
+        repeats = sorted(tuple(r)[1:] for r in passages.repeated_passages(docs).select("row", "id", "start", "words", "source_start", "matches").collect())
+        return exact, near, left, cleaned, [r[0] for r in repeats]
+
+    expect = results()
+    counter = iter(range(10**6))
+    real = store.cut
+
+    def moving(df, name):
+        out = real(df, name)
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", str(4 + 44 * (next(counter) % 2)))
+        return out
+
+    for module in (exact_dedup, jaccard, lines, passages, components, store):
+        if hasattr(module, "cut"):
+            monkeypatch.setattr(module, "cut", moving)
+    spark.conf.set("spark.sql.files.openCostInBytes", "65536")
+    try:
+        got = results()
+    finally:
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got[:4] == expect[:4] and set(got[4]) == set(expect[4])
+
+
+def test_columns_of_internal_names_are_carried(spark):
+    docs = cases.table(spark, extra=True).withColumn("__row", F.lit("a")).withColumn("__ROW_", F.lit("b"))
+    for f in (exact_dedup.drop_exact_duplicates, jaccard.drop_near_duplicates):
+        left = f(docs)
+        assert left.columns == docs.columns and {(r["__row"], r["__ROW_"]) for r in left.collect()} == {("a", "b")}
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 5)]
