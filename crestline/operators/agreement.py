@@ -44,18 +44,22 @@ def _by_windows(df: DataFrame, s: Slice, scales: Sequence[int], sides: dict[str,
 
 
 def position_matrix(close: np.ndarray, scales: Sequence[int], kind: type = np.float32) -> np.ndarray:
-    """(scales, bars) positions, NaN during warm-up."""
-    n = len(close)
+    """(scales, bars) positions, NaN during warm-up and in windows that hold a missing close."""
+    n, close = len(close), close.astype(np.float64)
     out = np.full((len(scales), n), np.nan, kind)
-    total = np.concatenate(([0], np.cumsum(close)))
+    missing = np.isnan(close)
+    total = np.concatenate(([0.0], np.cumsum(np.where(missing, 0.0, close))))
+    absent = np.concatenate(([0], np.cumsum(missing)))
     for i, k in enumerate(scales):
         look = max(k, 20)
         if n < k + look - 1:
             continue
         rel = close[k - 1 :] / np.maximum((total[k:] - total[:-k]) / k, 1e-9)
+        rel[absent[k:] > absent[:-k]] = np.nan
         w = sliding_window_view(rel, look)
         low, high, x = w.min(axis=1), w.max(axis=1), rel[look - 1 :]
-        out[i, k + look - 2 :] = np.where(high == low, 0.5, (x - low) / np.maximum(high - low, 1e-10))
+        position = np.where(high == low, 0.5, (x - low) / np.maximum(high - low, 1e-10))
+        out[i, k + look - 2 :] = np.where(np.isnan(low), np.nan, position)
     return out
 
 
@@ -91,6 +95,22 @@ def agreement_counts(close: np.ndarray, scales: Sequence[int], high: float, low:
     return hits[0], hits[1], len(scales)
 
 
+def counted(df: DataFrame, s: Slice, scales: Sequence[int], high: float, low: float) -> DataFrame:
+    """(keys, order, n_high, n_low, n_scales) of each bar: ``agreement_counts``; only closes leave the JVM."""
+    rows = df.select(*s.keys, s.order, F.col("close").cast("double").alias("close"))
+    schema = rows.drop("close").schema.add("n_high", "long").add("n_low", "long").add("n_scales", "long")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by(s.order)
+        up, down, n = agreement_counts(table.column("close").to_numpy(), scales, high, low)
+        out = table.drop_columns(["close"])
+        for name, values in (("n_high", up), ("n_low", down), ("n_scales", np.full(len(up), n, np.int64))):
+            out = out.append_column(name, pa.array(values))
+        return out
+
+    return rows.groupBy(*s.keys).applyInArrow(run, schema)
+
+
 def agreement(df: DataFrame, s: Slice, scales: Sequence[int], sides: dict[str, tuple[bool, float]], method: str = "auto") -> DataFrame:
     """Adds each of ``sides`` {column: (high, extreme)}: the share of scales beyond the extreme, warm-up counting as not beyond."""
     if not scales:

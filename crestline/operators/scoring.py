@@ -8,7 +8,8 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 # Fixed values of the score.
 LEAD_BARS = 2
@@ -96,6 +97,11 @@ def valid_scales(n_bars: int, scales: Sequence[int]) -> list[int]:
     return [k for k in scales if n_bars >= 2 * k + 1]
 
 
+def valid_scale_column(n_bars: Column, scales: Sequence[int]) -> Column:
+    """``valid_scales`` of a column of lengths, as an array."""
+    return F.filter(F.array(*map(F.lit, scales)), lambda k: n_bars >= 2 * k + 1)
+
+
 def side_score(bars: DataFrame, keys: Sequence[str], side: str, labels: dict[int, str], *, signal: str = "signal") -> DataFrame:
     """Score of each slice over the scales of ``labels`` {scale: column}, weighted by the scale's logarithm.
 
@@ -153,30 +159,38 @@ def bootstrap_indices(n: int, draws: int = BOOT_DRAWS, block: int = BOOT_BLOCK,
     return np.array(rows)
 
 
-def index_table(spark: SparkSession, sizes: Sequence[int]) -> DataFrame:
-    """(n, draw, at, weight): how often a draw takes each position; folds are few, so this is small."""
-    rows = []
-    for n in sorted({k for k in sizes if k > 1}):
-        for d, idx in enumerate(bootstrap_indices(n)):
-            at, times = np.unique(idx, return_counts=True)
-            rows += [(n, d, int(a), int(t)) for a, t in zip(at, times, strict=True)]
-    return spark.createDataFrame(rows or [(0, 0, 0, 0)], "n int, draw int, at int, times int")
-
-
-def bootstrap_lcb(scores: DataFrame, by: Sequence[str], max_folds: int, order: str = "fold", score: str = "fold_score") -> DataFrame:
-    """(by, n_folds, mean_score, lcb, ucb): percentile bounds of the mean over fold scores in order.
+def bootstrap_lcb(scores: DataFrame, by: Sequence[str], order: str = "fold", score: str = "fold_score") -> DataFrame:
+    """(by, n_folds, mean_score, lcb, ucb): percentile bounds of the mean over fold scores in order, for any number of folds.
 
-    One fold is its own bound.  ``max_folds`` bounds the folds of one group and with it the index table.
+    One fold is its own bound.  A group is the folds of one candidate or stream, so it is small however many groups there are.
     """
-    from pyspark.sql import Window
-
-    spark = scores.sparkSession
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    at = (F.row_number().over(w.orderBy(order)) - 1).cast("int")
-    placed = scores.select(*by, at.alias("at"), F.col(score).alias("__score"), F.count(F.lit(1)).over(w).cast("int").alias("n"))
-    table = F.broadcast(index_table(spark, range(2, max_folds + 1)))
-    means = placed.join(table, ["n", "at"]).groupBy(*by, "draw").agg((F.sum(F.col("__score") * F.col("times")) / F.max("n")).alias("m"))
-    bounds = means.groupBy(*by).agg(F.percentile("m", F.array(F.lit(BOOT_ALPHA / 2), F.lit(1 - BOOT_ALPHA / 2))).alias("b"))
-    plain = placed.groupBy(*by).agg(F.count(F.lit(1)).alias("n_folds"), F.avg("__score").alias("mean_score"))
-    joined = plain.join(bounds, list(by), "left") if by else plain.join(F.broadcast(bounds), F.lit(True), "left")
-    return joined.select(*by, "n_folds", "mean_score", F.coalesce(F.col("b")[0], "mean_score").alias("lcb"), F.coalesce(F.col("b")[1], "mean_score").alias("ucb"))
+    names = ["n_folds", "mean_score", "lcb", "ucb"]
+    schema = StructType([scores.schema[k] for k in by] + [StructField("n_folds", LongType())] + [StructField(n, DoubleType()) for n in names[1:]])
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        v = table.sort_by("__order").column("__score").to_numpy()
+        low = high = mean = float(v.mean())
+        if len(v) > 1:
+            low, high = np.percentile(v[bootstrap_indices(len(v))].mean(axis=1), [100 * BOOT_ALPHA / 2, 100 - 100 * BOOT_ALPHA / 2])
+        columns = [pa.array([k.as_py()], k.type) for k in key] if by else []
+        return pa.Table.from_arrays([*columns, pa.array([len(v)], pa.int64()), *(pa.array([float(x)]) for x in (mean, low, high))], [*by, *names])
+
+    rows = scores.select(*by, F.col(order).alias("__order"), F.col(score).cast("double").alias("__score"))
+    return rows.groupBy(*by).applyInArrow(run, schema)
+
+
+def components(n: int = REFERENCE_N) -> dict[str, Column]:
+    """What a score is made of, from the columns of ``match_stats``: 0 where there is nothing."""
+    c = {k: F.col(k).cast("double") for k in ("n_signals", "tp", "matched_pivots", "total_pivots", "n_bars")}
+    share = lambda a, b: F.when(b > 0, a / F.when(b > 0, b)).otherwise(0.0)
+    recall = share(c["matched_pivots"], c["total_pivots"])
+    return {
+        "precision": share(c["tp"], c["n_signals"]), "recall": recall, "saturated_recall": 1.0 - F.exp(-recall / (RECALL_TARGET * math.sqrt(REFERENCE_N / n))),
+        "frequency": F.least(F.lit(1.0), share(c["n_signals"], c["n_bars"]) / MIN_RATE), "excess": excess_penalty(c["n_signals"], c["total_pivots"]),
+    }
+
+
+def component_means(stats: DataFrame, by: Sequence[str], n: int = REFERENCE_N) -> DataFrame:
+    """(by, component, mean, n_folds): the mean of each component over the rows of ``match_stats``, one a fold."""
+    named = F.explode(F.array(*(F.struct(F.lit(k).alias("component"), v.alias("value")) for k, v in components(n).items())))
+    return stats.select(*by, named.alias("x")).select(*by, "x.*").groupBy(*by, "component").agg(F.avg("value").alias("mean"), F.count(F.lit(1)).alias("n_folds"))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BETA = 0.5
 GRID = 256
+#: Ranges of values that running sums go over one by one.
+RANGES = 64
 
 
 def objective(tp: Column, predicted: Column, positives: Column, total: Column, kind: str = "fbeta", beta: float = BETA) -> Column:
@@ -31,14 +33,24 @@ def cutpoint_curve(rows: DataFrame, feature: str, positive: str, *, keys: Sequen
     value = F.col(feature).cast("double")
     y = F.coalesce(F.col(positive), F.lit(False))
     counted = rows.groupBy(*keys, value.alias("__v")).agg(F.sum(y.cast("long")).alias("__tp"), F.count(F.lit(1)).alias("__n"))
-    every = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
-    w = every.orderBy(F.col("__v").asc() if leq else F.col("__v").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    all_pos, total = F.sum("__tp").over(every), F.sum("__n").over(every)
-    # a missing feature is never predicted, but it counts
+    # ranges of values are summed apart, then each starts where the one before it ends
     known = F.col("__v").isNotNull() & ~F.isnan("__v")
-    tp = F.sum(F.when(known, F.col("__tp")).otherwise(0)).over(w)
-    n = F.sum(F.when(known, F.col("__n")).otherwise(0)).over(w)
-    out = counted.select(*keys, "__v", known.alias("__known"), tp.alias("tp"), n.alias("n_predicted"), all_pos.alias("positives"), total.alias("total")).where("__known")
+    shares = [F.lit(i / RANGES) for i in range(1, RANGES)]
+    found = rows.select(value.alias("__v")).where(known).agg(F.percentile_approx("__v", F.array(*shares)).alias("e")).first()["e"] if shares else None
+    edges = sorted(set(found or []))
+    at = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col("__v"))) if edges else F.lit(0)
+    counted = counted.withColumn("__range", F.when(known, at))
+    ranges = counted.groupBy(*keys, "__range").agg(F.sum("__tp").alias("__rtp"), F.sum("__n").alias("__rn"))
+    every = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))  # of no more than RANGES rows a key
+    before = every.orderBy(F.col("__range").asc_nulls_last() if leq else F.col("__range").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranges.select(
+        *keys, "__range", F.coalesce(F.sum("__rtp").over(before), F.lit(0)).alias("__tp0"), F.coalesce(F.sum("__rn").over(before), F.lit(0)).alias("__n0"),
+        F.sum("__rtp").over(every).alias("positives"), F.sum("__rn").over(every).alias("total"),
+    ).where("__range IS NOT NULL")
+    w = Window.partitionBy(*keys, "__range").orderBy(F.col("__v").asc() if leq else F.col("__v").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    # a missing feature is never predicted, but it counts
+    own = counted.where(known).select(*keys, "__range", "__v", F.sum("__tp").over(w).alias("__t"), F.sum("__n").over(w).alias("__c"))
+    out = own.join(starts, [*keys, "__range"]).select(*keys, "__v", (F.col("__t") + F.col("__tp0")).alias("tp"), (F.col("__c") + F.col("__n0")).alias("n_predicted"), "positives", "total")
     d = {k: F.col(k).cast("double") for k in ("tp", "n_predicted", "positives", "total")}
     return out.select(
         *keys, F.col("__v").alias("threshold"), objective(d["tp"], d["n_predicted"], d["positives"], d["total"], kind).alias("score"),

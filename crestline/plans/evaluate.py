@@ -68,6 +68,6 @@ def score_candidates(feats: DataFrame, side: str, candidates: Sequence[tuple[int
     return pooled_scores(stats, weights, ["candidate", "fold"], n)
 
 
-def objective(scores: DataFrame, max_folds: int, by: Sequence[str] = ("candidate",)) -> DataFrame:
+def objective(scores: DataFrame, by: Sequence[str] = ("candidate",)) -> DataFrame:
     """(by, n_folds, mean_score, lcb, ucb) over informative folds; the lower bound is the objective."""
-    return bootstrap_lcb(scores.where("oos_pivots > 0"), list(by), max_folds)
+    return bootstrap_lcb(scores.where("oos_pivots > 0"), list(by))

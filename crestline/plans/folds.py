@@ -77,10 +77,21 @@ def holdout_split(bars: DataFrame, keys: Sequence[str] = ("stream_id",)) -> Data
     return bars.withColumn("part", F.when(F.col("bar") < n - hold, "is").otherwise("oos"))
 
 
+def prefix(bars: DataFrame, n: int) -> DataFrame:
+    """The first bars of each stream; they are numbered from 0 on."""
+    return bars.where(F.col("bar") < n)
+
+
+def tail(bars: DataFrame, n: int, keys: Sequence[str] = ("stream_id",)) -> DataFrame:
+    """The last bars of each stream."""
+    return bars.withColumn("__last", F.max("bar").over(Window.partitionBy(*keys))).where(F.col("bar") > F.col("__last") - n).drop("__last")
+
+
 def cut_slices(bars: DataFrame, folds: DataFrame, keys: Sequence[str] = ("stream_id",), order: str = "bar") -> DataFrame:
     """Bars of each (fold, half), numbered anew, by a join of the bars with the few folds of their stream."""
     halves = folds.select(*keys, "fold", F.explode(F.array(F.struct(F.lit("is").alias("half"), F.col("is_start").alias("lo"), F.col("is_end").alias("hi")), F.struct(F.lit("oos").alias("half"), F.col("oos_start").alias("lo"), F.col("oos_end").alias("hi")))).alias("h")).select(*keys, "fold", "h.*")
-    joined = bars.join(F.broadcast(halves), list(keys)).where((F.col(order) >= F.col("lo")) & (F.col(order) < F.col("hi")))
+    # folds grow with the streams, so the join is left to be planned by their size
+    joined = bars.join(halves, list(keys)).where((F.col(order) >= F.col("lo")) & (F.col(order) < F.col("hi")))
     return joined.withColumn("bar", F.col("bar") - F.col("lo")).drop("lo", "hi") if order == "bar" else joined.drop("lo", "hi")
 
 

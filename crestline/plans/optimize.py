@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -55,35 +55,56 @@ def ascend(start: SideParams, side: str, score: Callable[[Sequence[SideParams]],
     return AscentResult(best, now, trace)
 
 
-def pooled_scorer(slices: DataFrame, params: Params, side: str, weights: DataFrame | None, max_folds: int, n: int = 100) -> Callable[[Sequence[SideParams]], list[float]]:
+class PooledScorer:
     """Scores sets of thresholds by the lower bound over folds.
 
     Features that depend on lookbacks are kept across calls; an extreme percentile changes
-    agreement, so each distinct one has a feature table of its own.
+    agreement, so each distinct one has a feature table of its own, of which the last
+    ``MOST_TABLES`` used are kept.  ``close`` releases them.
     """
-    live = slices.join(F.broadcast(evaluate.informative_folds(slices, side)), "fold", "left_semi")
-    kept: dict[float, DataFrame] = {}
 
-    def table(p: SideParams) -> DataFrame:
-        key = round(p.pct_extreme, 12)
-        if key not in kept:
-            kept[key] = evaluate.features(live, replace(params, **{side: p}), side).persist()
-        return kept[key]
+    MOST_TABLES = 4
+
+    def __init__(self, slices: DataFrame, params: Params, side: str, weights: DataFrame | None, n: int = 100):
+        self.params, self.side, self.weights, self.n = params, side, weights, n
+        self.live = slices.join(evaluate.informative_folds(slices, side), "fold", "left_semi")
+        self.kept: dict[float, DataFrame] = {}
 
-    def score(candidates: Sequence[SideParams]) -> list[float]:
+    def _table(self, p: SideParams) -> DataFrame:
+        key = round(p.pct_extreme, 12)
+        table = self.kept.pop(key, None)
+        if table is None:
+            table = evaluate.features(self.live, replace(self.params, **{self.side: p}), self.side).persist()
+        self.kept[key] = table  # the last used comes last
+        while len(self.kept) > self.MOST_TABLES:
+            self.kept.pop(next(iter(self.kept))).unpersist()
+        return table
+
+    def folds(self, candidates: Sequence[SideParams]) -> Iterator[DataFrame]:
+        """(candidate, fold, ..., fold_score) of all candidates, a frame for each extreme percentile."""
         for p in candidates:
-            evaluate.check_shape(params.side(side), p)
+            evaluate.check_shape(self.params.side(self.side), p)
         by_pct: dict[float, list[tuple[int, SideParams]]] = {}
         for i, p in enumerate(candidates):
             by_pct.setdefault(round(p.pct_extreme, 12), []).append((i, p))
-        out = [0.0] * len(candidates)
         for group in by_pct.values():
-            folds = evaluate.score_candidates(table(group[0][1]), side, group, weights, n)
-            for r in evaluate.objective(folds, max_folds).collect():
+            yield evaluate.score_candidates(self._table(group[0][1]), self.side, group, self.weights, self.n)
+
+    def __call__(self, candidates: Sequence[SideParams]) -> list[float]:
+        out = [0.0] * len(candidates)
+        for folds in self.folds(candidates):
+            for r in evaluate.objective(folds).collect():
                 out[r["candidate"]] = float(r["lcb"])
         return out
 
-    return score
+    def close(self) -> None:
+        for table in self.kept.values():
+            table.unpersist()
+        self.kept.clear()
+
+
+def pooled_scorer(slices: DataFrame, params: Params, side: str, weights: DataFrame | None, n: int = 100) -> PooledScorer:
+    return PooledScorer(slices, params, side, weights, n)
 
 
 def trace_frame(spark: SparkSession, result: AscentResult) -> DataFrame:
@@ -93,6 +114,14 @@ def trace_frame(spark: SparkSession, result: AscentResult) -> DataFrame:
 TRIALS = "study string, trial long, state string, score double, params string"
 
 
+def read_trials(spark: SparkSession, path: str, study: str | None = None) -> DataFrame:
+    """The trials of a table, each once: a trial that was written again (by a run that was resumed) counts as its complete one, then its best."""
+    rows = spark.read.schema(TRIALS).parquet(path)
+    rows = rows.where(F.col("study") == study) if study is not None else rows
+    newest = F.max_by(F.struct("state", "score", "params"), F.struct((F.col("state") == "COMPLETE").cast("int"), F.coalesce("score", F.lit(float("-inf"))), "params"))
+    return rows.groupBy("study", "trial").agg(newest.alias("x")).select("study", "trial", "x.*")
+
+
 def append_trials(spark: SparkSession, path: str, study: str, rows: Sequence[tuple[int, str, float | None, dict]]) -> None:
     """Adds finished trials to a study's table; the driver alone writes."""
     spark.createDataFrame([(study, i, state, score, json.dumps(p, sort_keys=True)) for i, state, score, p in rows], TRIALS).write.mode("append").parquet(path)
@@ -132,11 +161,12 @@ def probe(spark: SparkSession, side: str, at: SideParams, score: Callable[[Seque
     return spark.createDataFrame([(kind, s) for (kind, _), s in zip(drawn, scores, strict=True)], "kind string, score double")
 
 
-def sensitivity(trials: DataFrame, names: Sequence[str]) -> DataFrame:
-    """(name, r): correlation of each parameter with the score, strongest first."""
+def sensitivity(trials: DataFrame, names: Sequence[str], top: int | None = None) -> DataFrame:
+    """(name, r): correlation of each parameter with the score, strongest first; the ``top`` ones if asked."""
     wide = trials.agg(*(F.corr(n, "score").alias(n) for n in names))
     long = wide.select(F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).alias("r")) for n in names))).alias("x")).select("x.*")
-    return long.orderBy(F.desc(F.abs("r")), "name")
+    ordered = long.orderBy(F.desc(F.abs("r")), "name")
+    return ordered if top is None else ordered.limit(top)
 
 
 def parameter_map(trials: DataFrame, names: Sequence[str]) -> DataFrame:

@@ -14,6 +14,34 @@ from .params import Params
 PARITY_TOLERANCE = 1e-6
 
 
+def read_raw(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """A chart's raw export: names stripped and lower-cased; raises without ``time``."""
+    return _with_time(spark.read.option("header", True).option("inferSchema", True).csv(path), str.lower)
+
+
+def read_enriched(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """An export with a script's plots: names stripped, their case kept; raises without ``time``."""
+    return _with_time(spark.read.option("header", True).option("inferSchema", True).csv(path), str)
+
+
+def _with_time(df: DataFrame, case) -> DataFrame:
+    df = df.toDF(*(case(c.strip()) for c in df.columns))
+    if "time" not in df.columns:
+        raise ValueError("missing column: time")
+    return df
+
+
+def enriched_of(files: DataFrame, ticker: str, timeframe: str) -> DataFrame:
+    """The first by name of the files (path, name) that are enriched exports of a stream; no row if there is none."""
+    pattern = f"^{re.escape(ticker)}_{re.escape(timeframe)}_.*_TV_.*\\.csv$"
+    return files.where(F.col("name").rlike(pattern)).orderBy("name").limit(1)
+
+
+def parity_of_exports(spark: SparkSession, raw: str, enriched: str, columns: Sequence[str]) -> DataFrame:
+    """``parity`` of two files: ``columns`` that both hold under any case, and the enriched one's signals."""
+    return parity(read_raw(spark, raw), export_signals(read_enriched(spark, enriched)), columns)
+
+
 def export_signals(df: DataFrame) -> DataFrame:
     """Signals of an enriched export: a strong or a regular mark above zero."""
     def mark(side: str) -> Column:
@@ -66,11 +94,14 @@ def constant_rows(spark: SparkSession, params: Params) -> DataFrame:
 
 
 def markdown_table(df: DataFrame, digits: int = 4, most: int = 200) -> str:
-    """A small frame as a table; reports are short, so ``most`` rows reach the driver."""
-    rows = df.limit(most).collect()
+    """A small frame as a table; ``most`` rows reach the driver, and a last line says how many are left out."""
+    rows = df.limit(most + 1).collect()
+    left = df.count() - most if len(rows) > most else 0
+    rows = rows[:most]
     cell = lambda v: "" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else str(v)
     body = ["| " + " | ".join(cell(v) for v in r) + " |" for r in rows]
-    return "\n".join(["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns), *body])
+    more = ["", f"{left} more rows"] if left else []
+    return "\n".join(["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns), *body, *more])
 
 
 def render_report(title: str, sections: dict[str, DataFrame | str]) -> str:

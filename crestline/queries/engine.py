@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import volmodels, windows as W
 from ..functions.windows import Slice
 from ..operators import agreement as ag, detector, labels, scoring, state
-from ..plans import calibrate, evaluate, folds, optimize, pipeline, report
+from ..plans import calibrate, evaluate, folds, optimize, report
 from ..plans.params import PRESETS
 from ..sources import bars as B, universe as U
 from . import sql as Q
@@ -413,7 +413,7 @@ UNION ALL SELECT 'b', 1, 0.42, 0.42, 0.42""")
 def bootstrap_bounds(spark, d):
     """Bounds of the mean of fold scores."""
     rows = [("a", i, s) for i, s in enumerate(_SCORES)] + [("b", 0, 0.42)]
-    out = scoring.bootstrap_lcb(spark.createDataFrame(rows, "study string, fold int, fold_score double"), ["study"], len(_SCORES))
+    out = scoring.bootstrap_lcb(spark.createDataFrame(rows, "study string, fold int, fold_score double"), ["study"])
     return out.select("study", "n_folds", *(F.round(c, 9).alias(c) for c in ("mean_score", "lcb", "ucb")))
 
 
@@ -441,23 +441,14 @@ for _kind, _leq in (("fbeta", False), ("fbeta", True), ("youden", False), ("youd
     query(_cut_sql(_kind, _leq), f"cutpoint_{_kind}_{'leq' if _leq else 'geq'}")(_cut)
 
 
-_N1 = 4096
-
-
-@query(f"""WITH RECURSIVE {Q.BARS}, r AS (SELECT bar, close AS f, (close >= open) AS y FROM bars WHERE stream_id = '1-URGENT'), t AS (SELECT count(*) AS n FROM r),
-q AS (SELECT DISTINCT unnest(quantile_cont(f::DOUBLE, [i / 255.0 for i in range(0, 256)])) AS thr FROM r),
-b AS (SELECT i AS block, {_N1} * i // 5 AS lo, {_N1} * (i + 1) // 5 AS hi FROM range(0, 5) x(i)),
-e AS (SELECT block, thr, sum((f >= thr AND y)::INT) AS tp, sum((f >= thr)::INT) AS c, sum(y::INT) AS pos FROM r JOIN b ON bar >= lo AND bar < hi, q GROUP BY ALL),
-m AS (SELECT thr, avg(CASE WHEN c + 0.25 * pos > 0 THEN 1.25 * tp / (c + 0.25 * pos) ELSE 0.0 END) AS s FROM e WHERE pos > 0 GROUP BY thr)
-SELECT round(thr, 6) AS threshold, round(s, 9) AS score FROM m ORDER BY round(s, 12) DESC, thr LIMIT 1""")
+@query(f"""WITH RECURSIVE {Q.BARS}, r AS (SELECT stream_id, bar, close AS f, (close >= open) AS y, count(*) OVER (PARTITION BY stream_id) AS n FROM bars),
+q AS (SELECT DISTINCT stream_id, unnest(qs) AS thr FROM (SELECT stream_id, quantile_cont(f::DOUBLE, [i / 255.0 for i in range(0, 256)]) AS qs FROM r GROUP BY stream_id)),
+b AS (SELECT DISTINCT stream_id, i AS block, n * i // 5 AS lo, n * (i + 1) // 5 AS hi FROM r, range(0, 5) x(i)),
+e AS (SELECT stream_id, block, thr, sum((f >= thr AND y)::INT) AS tp, sum((f >= thr)::INT) AS c, sum(y::INT) AS pos FROM r JOIN b USING (stream_id) JOIN q USING (stream_id) WHERE bar >= lo AND bar < hi GROUP BY ALL),
+m AS (SELECT stream_id, thr, avg(CASE WHEN c + 0.25 * pos > 0 THEN 1.25 * tp / (c + 0.25 * pos) ELSE 0.0 END) AS s FROM e WHERE pos > 0 GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY round(s, 12) DESC, thr) AS i FROM m)
+SELECT stream_id, round(thr, 6) AS threshold, round(s, 9) AS score FROM k WHERE i = 1""")
 def cv_cutpoint(spark, d):
-    """Cross-validated cut of closes for rising bars of one stream."""
-    b = B.order_bars(spark, d).where("stream_id = '1-URGENT'").select("bar", F.col("close").alias("f"), (F.col("close") >= F.col("open")).alias("y"))
-    return calibrate.cv_cutpoint(b, "f", "y", n_rows=_N1).select(*six("threshold"), F.round("score", 9).alias("score"))
-
-
-@query(None)
-def cv_cutpoint_streams(spark, d):
     """Cross-validated cut of closes for rising bars of every stream, with blocks over all its bars."""
     b = B.order_bars(spark, d).select("stream_id", "bar", F.col("close").alias("f"), (F.col("close") >= F.col("open")).alias("y"))
     return calibrate.cv_cutpoint(b, "f", "y", keys=["stream_id"]).select("stream_id", *six("threshold"), F.round("score", 9).alias("score"))
@@ -522,8 +513,10 @@ def chart_constants(spark, d):
 def coordinate_ascent(spark, d):
     """Trace of a short ascent over two thresholds on the pooled folds."""
     slices = labelled_slices(spark, d).persist()
-    score = optimize.pooled_scorer(slices, PRESET, "low", cluster_weights(spark, d), 20, N)
+    score = optimize.pooled_scorer(slices, PRESET, "low", cluster_weights(spark, d), N)
     result = optimize.ascend(PRESET.side("low"), "low", score, sweeps=1, grid_n=3, fields=["min_agreement", "scale_div_thresh"])
+    score.close()
+    slices.unpersist()
     return optimize.trace_frame(spark, result)
 
 
@@ -541,36 +534,16 @@ def detector_all_votes(spark, d):
     return detector.detect(B.order_bars(spark, d), S, params).select("stream_id", "bar", "signal_high", "signal_low")
 
 
-_CONFIG = pipeline.RunConfig(preset="permissive", nest=NEST, n=N)
-
-
-@query(None)
-def walk_forward_scores(spark, d):
-    """Scores of both sides on every stream's own folds, each half with a warm-up of its own."""
-    out = pipeline.walk_forward_scores(B.order_bars(spark, d), PRESET, _CONFIG)
-    return out.select("stream_id", "side", "fold", *(F.round(c, 9).alias(c) for c in ("is_score", "oos_score", "gap", "fold_score")))
-
-
-@query(None)
-def walk_forward_bounds(spark, d):
-    """Bounds of the mean of each stream's folds."""
-    return pipeline.run_table(pipeline.walk_forward_scores(B.order_bars(spark, d), PRESET, _CONFIG), 40)
-
-
-@query(None)
-def holdout_scores(spark, d):
-    """Scores before and in the holdout of each stream."""
-    return pipeline.holdout_table(B.order_bars(spark, d), PRESET, _CONFIG)
-
-
 @query(None)
 def stability_probe(spark, d):
     """Lower bounds of draws near the thresholds of the LOW side, on the pooled folds."""
     slices = labelled_slices(spark, d).persist()
-    score = optimize.pooled_scorer(slices, PRESET, "low", cluster_weights(spark, d), 20, N)
+    score = optimize.pooled_scorer(slices, PRESET, "low", cluster_weights(spark, d), N)
     at = PRESET.low
     drawn = [replace(at, min_agreement=at.min_agreement + i * 0.05, scale_div_thresh=at.scale_div_thresh - i * 0.05) for i in range(4)]
     rows = [("local", float(s)) for s in score(drawn)]
+    score.close()
+    slices.unpersist()
     return optimize.stability(spark.createDataFrame(rows, "kind string, score double"), max(s for _, s in rows) or 1.0)
 
 
@@ -580,8 +553,12 @@ def entry(spark: SparkSession, sf_dir: str = "/root/testdata/sf0.001") -> DataFr
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import runs  # noqa: F401  registers whole runs
+
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import runs  # noqa: F401
+
     return dict(_sql)

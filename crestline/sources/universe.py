@@ -11,6 +11,39 @@ TIMEFRAMES = ("1m", "5", "15", "30", "60", "120", "240", "1D", "1W", "1M")
 SPELLINGS = {"1": "1m", "D": "1D", "W": "1W", "M": "1M"}
 
 
+GROUPS = {
+    "INDICES": ("SPX", "NDX", "DAX"),
+    "STOCKS": (
+        "AAPL", "ABBV", "AMD", "AMZN", "AVGO", "BAC", "BRKB", "COST", "CSCO", "CVX", "GE", "GOOG", "GOOGL", "HD", "JNJ",
+        "JPM", "KO", "LLY", "MA", "MCD", "META", "MSFT", "NFLX", "ORCL", "PG", "PLTR", "TMUS", "TSLA", "V", "XOM",
+    ),
+    "FX": ("EURGBP", "EURJPY", "EURUSD", "GBPUSD", "USDCHF", "USDRUB", "USDSEK"),
+    "COMMODITIES": ("GC1", "SI1", "PL1", "PA1", "WTI"),
+    "WORLD_ETF": ("VT", "VWCE"),
+}
+POOL_FRAMES = ("1D", "240", "60")
+#: A cluster is a group's tickers, or those of a list; all other tickers are clusters of their own.
+CLUSTER_OF_GROUP = {"STOCKS": "US_EQ", "FX": "FX", "WORLD_ETF": "WORLD_EQ"}
+CLUSTER_LISTS = {"US_EQ": ("SPX", "NDX"), "EU_EQ": ("DAX",), "METALS": ("GC1", "SI1", "PL1", "PA1"), "ENERGY": ("WTI",)}
+
+
+def clusters() -> dict[str, str]:
+    """Each ticker's cluster."""
+    out = {t: c for g, c in CLUSTER_OF_GROUP.items() for t in GROUPS[g]}
+    return out | {t: c for c, tickers in CLUSTER_LISTS.items() for t in tickers}
+
+
+def tickers_of(groups: Sequence[str], universe: dict[str, Sequence[str]] | None = None) -> list[str]:
+    """Tickers of the groups in order, each once; a group that does not exist has none."""
+    known = GROUPS if universe is None else universe
+    return list(dict.fromkeys(t for g in groups for t in known.get(g, ())))
+
+
+def resolve_groups(files: DataFrame, groups: Sequence[str], frames: Sequence[str] = POOL_FRAMES, universe: dict[str, Sequence[str]] | None = None, cluster_map: dict[str, str] | None = None) -> DataFrame:
+    """``resolve_streams`` of all tickers of some groups; pairs without a file are left out."""
+    return resolve_streams(files, tickers_of(groups, universe), frames, clusters() if cluster_map is None else cluster_map)
+
+
 def timeframe(raw: Column) -> Column:
     out = raw
     for spelt, name in SPELLINGS.items():

@@ -195,7 +195,7 @@ def test_bootstrap(spark):
     scores = np.array([0.1, 0.5, 0.2, 0.4, 0.3, 0.25, 0.35])
     lo, hi = np.percentile(scores[idx].mean(axis=1), [5, 95])
     rows = [("s", i, float(x)) for i, x in enumerate(scores)]
-    out = scoring.bootstrap_lcb(spark.createDataFrame(rows, "k string, fold int, fold_score double"), ["k"], 8).first()
+    out = scoring.bootstrap_lcb(spark.createDataFrame(rows, "k string, fold int, fold_score double"), ["k"]).first()
     assert (out["lcb"], out["ucb"]) == (pytest.approx(lo), pytest.approx(hi))
 
 
@@ -385,7 +385,7 @@ def test_runs(spark, tmp_path):
     assert scores.where("fold_score > oos_score + 1e-12 OR fold_score < 0").count() == 0
     per_slice = pipeline.walk_forward_scores(df, p, replace(config, label_whole=False))
     assert per_slice.count() == scores.count()
-    for r in pipeline.run_table(scores, 20).collect():
+    for r in pipeline.run_table(scores).collect():
         assert r["lcb"] <= r["mean_score"] <= r["ucb"]
     assert {r["part"] for r in pipeline.holdout_table(df, p, config).collect()} == {"is", "oos"}
     (tmp_path / "X_1D_a_b.csv").write_text("time,open,high,low,close,volume\n" + "\n".join(f"{1_300_000_000 + r[1] * 86400},{r[2]},{r[3]},{r[4]},{r[5]},{r[6]}" for r in walk(300, 5)))
@@ -398,7 +398,7 @@ def test_runs(spark, tmp_path):
 def test_bounds_and_pruning(spark):
     rows = [(c, f, 0.1 * c + 0.01 * f, 1.0) for c in range(5) for f in range(4)] + [(0, 9, 0.0, 0.0)]
     scores = spark.createDataFrame(rows, "candidate int, fold int, fold_score double, oos_pivots double")
-    b = pipeline.running_bounds(scores, 6)
+    b = pipeline.running_bounds(scores)
     assert b.count() == 20
     pruned = {r["candidate"]: r["pruned"] for r in pipeline.median_pruned(b, startup=2, warmup=1).collect()}
     assert pruned == {0: True, 1: True, 2: False, 3: False, 4: False}

@@ -16,5 +16,5 @@ def test_cv_cutpoint_of_every_stream(spark):
     for k, n in enumerate((50, 333, 5000)):
         one = calibrate.cv_cutpoint(df.where(F.col("k") == k), "f", "y", n_rows=n).first()
         assert got[k] == (one["threshold"], one["score"])
-    streams = engine.queries()["cv_cutpoint_streams"](spark, DATA)
+    streams = engine.queries()["cv_cutpoint"](spark, DATA)
     assert streams.select("stream_id").distinct().count() == streams.count() == 5
