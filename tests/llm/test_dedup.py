@@ -132,6 +132,26 @@ def test_links_in_one_unit_against_pairs():
         for i in range(len(sets)):
             for j in range(i):
                 assert (found[i] == found[j]) == (find(i) == find(j))
+        # what is connected already stays so, and nothing is lost
+        known = np.array([find(i) if rng.random() < 0.5 else 1000 + i for i in range(len(sets))])
+        again = jaccard.Links(sets, prefixes, [0] * len(sets), num, den, known).component
+        assert (again == found).all() or len(set(zip(again.tolist(), found.tolist()))) == len(set(found.tolist()))
+
+
+def test_chains_of_near_copies_are_one_component(spark):
+    """Each text is linked with the next alone, so that stars find few of the links."""
+    rng = random.Random(11)
+    words = [f"v{rng.randrange(10**6)}" for _ in range(100)]
+    rows = []
+    for i in range(120):
+        rows.append((i, " ".join(words)))
+        for _ in range(1):
+            words[rng.randrange(100)] = f"u{rng.randrange(10**6)}"
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    expect, _ = brute_components(rows, 4, 85, 100)
+    got = jaccard.jaccard_components(docs, k=4, num=85, den=100).collect()
+    assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == expect
 
 
 def test_scans_that_are_split_otherwise(spark, monkeypatch):
