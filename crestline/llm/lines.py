@@ -93,8 +93,8 @@ def clean_lines(docs: DataFrame, *, min_docs: int = 10, max_variable: float = 0.
     rows = numbered(docs.select(*kept, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(text)), "line-rows", row)
     drop, _ = _recurring(rows.select(F.col(row).alias("row"), F.col(text).alias("text")), min_docs, max_variable, min_words)
     per_row = cut(drop.groupBy(F.col("row").alias(row)).agg(F.collect_set("pos").alias(gone_at)), "dropped-places")
-    # the rows with lines to drop grow with the corpus, so they are never broadcast: one plan at every size
-    whole = rows.join(per_row.hint("merge"), row, "left")
+    # the rows with lines to drop grow with the corpus, so they are never broadcast; texts pass by them and are not sorted
+    whole = rows.join(per_row.hint("shuffle_hash"), row, "left")
     lines = F.split(text, "\n", -1)
     gone = F.map_from_arrays(F.col(gone_at), F.transform(gone_at, lambda p: F.lit(True)))
     left = F.transform(F.array(gone), lambda m: F.filter(lines, lambda line, i: ~F.coalesce(F.try_element_at(m, i), F.lit(False))))[0]
