@@ -116,11 +116,15 @@ def train(docs: DataFrame, labels: DataFrame, params: FtrlParams = FtrlParams(),
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(got, pa.binary()), b.column(2)], ["id", "x", "y"])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = []
+        ids, examples = [], []
         for b in batches:
-            seen += list(zip(b.column("id").to_pylist(), b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True))
-        seen.sort(key=lambda r: (int(mix(np.array([r[0]], np.int64).astype(U))[0]), r[1]))
-        examples = [(np.frombuffer(x, "<u4").astype(np.int64), y) for _, x, y in seen]
+            x = b.column("x")
+            offsets, data = np.frombuffer(x.buffers()[1], np.int32)[x.offset : x.offset + len(x) + 1], x.buffers()[2]
+            # views of the batch: the sample is held once
+            examples += [(np.frombuffer(data, "<u4", (hi - lo) // 4, lo) if hi > lo else np.zeros(0, "<u4"), y) for lo, hi, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), b.column("y").to_pylist(), strict=True)]
+            ids.append(b.column("id").to_numpy())
+        order = np.argsort(mix(np.concatenate(ids).astype(U)), kind="stable") if ids else []
+        examples = [examples[i] for i in order]
         if not examples:
             return
         bias, w = fit_ftrl(examples, params)
