@@ -9,9 +9,12 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _KEY = "spark.checkpoint.dir"
+#: Tables that were made and not dropped.
+_live: list[str] = []
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -66,6 +69,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     atexit.register(_remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._crestline_path = path
+    _live.append(path)
     return out
 
 
@@ -73,6 +77,29 @@ def drop(*tables: DataFrame) -> None:
     """Removes tables made by ``cut`` that no later read needs."""
     for t in tables:
         _remove(t.sparkSession, t._crestline_path)
+        _live.remove(t._crestline_path)
+
+
+@contextlib.contextmanager
+def made_here(paths: list[str]) -> Iterator[None]:
+    """Adds to ``paths`` the tables that are made inside and not dropped there."""
+    before = set(_live)
+    yield
+    paths += [p for p in _live if p not in before]
+
+
+def drop_unread(paths: list[str], df: DataFrame) -> list[str]:
+    """Removes the tables at ``paths`` but for those that ``df`` reads, which are returned."""
+    leaves, read = df._jdf.queryExecution().analyzed().collectLeaves(), ""
+    for i in range(leaves.size()):
+        with contextlib.suppress(Py4JError):  # a leaf that is not a table of files
+            read += leaves.apply(i).relation().location().rootPaths().mkString("\n") + "\n"
+    kept = [p for p in paths if p.rsplit("/", 1)[-1] in read]
+    for p in paths:
+        if p not in kept:
+            _remove(df.sparkSession, p)
+            _live.remove(p)
+    return kept
 
 
 def free_name(df: DataFrame, name: str) -> str:
