@@ -301,6 +301,22 @@ def test_pipeline(spark):
             assert n <= least + 2
 
 
+def test_stages_that_are_not_written(spark):
+    """A stage's tables stay as long as the next one's docs read them, and go after."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    lazily = docs
+    for _, f in corpus_pipeline.STAGES[1:3]:
+        lazily = f(spark, lazily, DATA)
+    lazily = sorted(r["doc_id"] for r in lazily.select("doc_id").collect())
+    written = docs
+    for _, f in corpus_pipeline.STAGES[1:3]:
+        written = corpus_pipeline.cut(f(spark, written, DATA), "test-written")
+    assert lazily == sorted(r["doc_id"] for r in written.select("doc_id").collect())
+    before = list(corpus_pipeline._made)
+    corpus_pipeline.STAGES[3][1](spark, written, DATA)
+    assert before and not set(before) & set(corpus_pipeline._made)
+
+
 def test_stages_take_odd_tables(spark):
     for docs in (cases.table(spark, extra=True), cases.empty(spark)):
         for name, stage in corpus_pipeline.STAGES[:-1]:
