@@ -130,9 +130,9 @@ class Links:
                     self._union(a, np.array([b]))
 
     def _join(self, prefixes: list[np.ndarray], skipped: np.ndarray) -> None:
-        by_key: dict[tuple[int, bytes], list[int]] = {}
+        by_key: dict[tuple[int, int, bytes], list[int]] = {}  # one place of the prefix for all of a group
         for i in np.argsort(self.size, kind="stable").tolist():
-            by_key.setdefault((int(self.size[i]), prefixes[i].tobytes()), []).append(i)
+            by_key.setdefault((int(self.size[i]), int(skipped[i]), prefixes[i].tobytes()), []).append(i)
         groups = [np.array(m) for m in by_key.values()]
         heads = [m[0] for m in groups]
         n = self.size[heads]
@@ -237,8 +237,11 @@ def _verified_edges(texts: DataFrame, classes: DataFrame, k: int, num: int, den:
     # a shingle whose classes are all connected by now has nothing left to join
     of_token = labelled.select("comp", F.explode("prefix").alias("token")).groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     open_tokens = cut(of_token.where("lo < hi").select("token"), "open-shingles")
-    meet = components(sharing.join(open_tokens, "token", "left_semi").select("a", "b"), "prefix-sharing").select(F.col("node").alias("grp"), F.col("root").alias("unit"))
-    units = cut(labelled.join(meet, "grp").drop("grp", "row"), "prefix-units")
+    open_sharing = cut(sharing.join(open_tokens, "token", "left_semi").select("a", "b").distinct(), "open-sharing")
+    meet = components(open_sharing, "prefix-sharing").select(F.col("node").alias("grp"), F.col("root").alias("unit"))
+    # a group that shares open shingles with no other is a unit of its own: its members need not all link with its first
+    unit_of = open_sharing.select(F.col("a").alias("grp")).distinct().join(meet, "grp", "left").withColumn("unit", F.coalesce("unit", "grp"))
+    units = cut(labelled.join(unit_of, "grp").drop("grp", "row"), "prefix-units")
     blocks = F.ceil(F.sum("n") / UNIT_SHINGLES).cast("int")
     sizes = units.groupBy("unit").agg(blocks.alias("blocks"))
     work = cut(units.join(sizes, "unit"), "unit-classes")
@@ -261,7 +264,7 @@ def _verified_edges(texts: DataFrame, classes: DataFrame, k: int, num: int, den:
         return pa.table({"a": pa.array(cid[real]), "b": pa.array(root[real])})
 
     edges = cut(placed.groupBy("unit", "i", "j").applyInArrow(verify, "a long, b long"), "verified-links")
-    drop(sets, survivors, labelled, sharing, least, open_tokens, units, work)
+    drop(sets, survivors, labelled, sharing, least, open_tokens, open_sharing, units, work)
     return components(near.unionByName(edges), "links").where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 

@@ -4,11 +4,12 @@ import random
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import cases
-from crestline.llm import components, exact_dedup, jaccard, lines, passages, store
+from crestline.llm import components, exact_dedup, jaccard, kernel, lines, passages, store
 
 
 def rows_of(df):
@@ -138,6 +139,38 @@ def test_links_in_one_unit_against_pairs():
         assert (again == found).all() or len(set(zip(again.tolist(), found.tolist()))) == len(set(found.tolist()))
 
 
+def test_lone_group_is_joined_inside(spark):
+    """Four texts with one prefix are two pairs: whichever is first, the pair without it is found."""
+    region, rows = jaccard._region(85, 100), []
+    for seed in range(400):
+        rng = random.Random(seed)
+        word = lambda: f"g{rng.randrange(10**9)}"
+        base = [word() for _ in range(20)]
+        texts = [" ".join(base + tail + [word()]) for tail in [[word(), word()] for _ in range(2)] for _ in range(2)]
+        sets = [set(s.tolist()) for s in kernel.shingle_sets(pa.array(texts), 4)]
+        every = set.intersection(*sets)
+        own = set.union(*sets) - every
+        if min(own) >= region and sum(x < region for x in every) >= jaccard._prefix_length(20, 85, 100):
+            rows += [(len(rows) + i, t) for i, t in enumerate(texts)]
+    assert len(rows) >= 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    expect, n = brute_components(rows, 4, 85, 100)
+    assert n == len(rows) // 2
+    got = jaccard.jaccard_components(docs, k=4, num=85, den=100).collect()
+    assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == expect
+
+
+def test_prefixes_at_other_places_are_other_groups():
+    """Sets of one size and prefix, of which one skips ten unshared shingles: its place is not the other's."""
+    shared = list(range(1, 7))
+    skips = shared + list(range(100, 194))
+    whole = shared + list(range(1000, 1094))
+    near = whole[:92] + list(range(2000, 2008))
+    sets = [np.array(s, np.uint64) for s in (skips, whole, near)]
+    found = jaccard.Links(sets, [np.array(shared, np.int64)] * 2 + [np.array([*shared, 2000], np.int64)], [10, 0, 0], 85, 100).component
+    assert found[1] == found[2] != found[0]
+
+
 def test_chains_of_near_copies_are_one_component(spark):
     """Each text is linked with the next alone, so that stars find few of the links."""
     rng = random.Random(11)
