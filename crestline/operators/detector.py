@@ -39,7 +39,7 @@ def shape_features(df: DataFrame, s: Slice, params: Params, sides: tuple[str, ..
         df = agreement(df, s, scale_grid(*grid), wanted)
     for x in sides:
         p, n = params.side(x), params.side(x).S_detect
-        df = W.sma(df, s, "close", n, "__mean").withColumn("__rel", F.col("close") / W.floor_at(F.col("__mean"), 1e-9))
+        df = W.sma(df, s, "close", n, "__mean").withColumn("__rel", W.ratio(F.col("close"), F.col("__mean")))
         df = W.pir(df, s, "__rel", max(n, 20), f"position_{x}").drop("__mean", "__rel")
         if p.use_trend:
             df = W.trend(df, s, n, f"slope_{x}", f"line_{x}")

@@ -230,7 +230,7 @@ _POS = f"s1 AS (SELECT *, close / {Q.full('avg', 'close', 12)} AS rel FROM agr),
 def scale_divergence(spark, d):
     """Where one scale and all scales disagree."""
     df = ag.agreement(B.order_bars(spark, d), S, _SCALES, _SIDES, "windows")
-    df = W.sma(df, S, "close", 12, "m").withColumn("rel", F.col("close") / F.col("m"))
+    df = W.sma(df, S, "close", 12, "m").withColumn("rel", W.ratio(F.col("close"), F.col("m")))
     df = W.pir(df, S, "rel", 20, "position")
     p = F.col("position")
     return df.select("stream_id", "bar", *six("position"), W.is_true(F.abs(p - F.col("agree_high")) > 0.35).alias("apart_high"), W.is_true(F.abs(1.0 - p - F.col("agree_low")) > 0.39).alias("apart_low"))

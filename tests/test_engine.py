@@ -6,6 +6,7 @@ import math
 import random
 from dataclasses import replace
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -414,3 +415,34 @@ def test_agreement_counts():
     assert n == 3 and high.tolist() == (np.nan_to_num(m, nan=0.5) > 0.9).sum(axis=0).tolist()
     assert low.tolist() == (np.nan_to_num(m, nan=0.5) < 1.0 - 0.9).sum(axis=0).tolist()
     assert agreement.agreement_counts(close, [], 0.9, 0.9)[2] == 0
+
+
+_FALLING = ("agreement_arrays", "agreement_counts", "agreement_windows", "detector_candidates_high", "detector_candidates_low", "detector_debug", "detector_signals_high", "detector_signals_low", "duration", "edge_vote",
+            "momentum_votes", "scale_divergence", "scale_transfer", "side_score_high", "side_score_low", "signal_match_high", "signal_match_low", "trend_vote", "vola_intraday")
+
+
+@pytest.fixture(scope="module")
+def falling(tmp_path_factory):
+    """Orders whose walk of prices falls through zero, and stands at zero on some days."""
+    d = tmp_path_factory.mktemp("falling")
+    duckdb.sql(f"""COPY (SELECT i AS o_orderkey, CASE WHEN i % 2 = 0 THEN '1-URGENT' ELSE '3-MEDIUM' END AS o_orderpriority, TIMESTAMP '2001-01-01' + INTERVAL 1 DAY * (i // 6) AS o_orderdate,
+      250000.0 + CASE WHEN i = 0 THEN -25000000 WHEN i = 1 THEN -20000000 WHEN i // 6 IN (0, 60, 61) THEN 0 ELSE i * 7919 * (i + 13) % 9000000 - 4600000 END AS o_totalprice
+      FROM range(1500) t(i)) TO '{d}/orders.parquet'""")
+    return str(d)
+
+
+@pytest.mark.parametrize("name", _FALLING)
+def test_prices_below_zero_against_sql(spark, falling, name):
+    from crestline.queries import engine
+    from test_oracle import rows
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW orders AS FROM '{falling}/orders.parquet'")
+    assert con.sql(engine.oracle_sql()["bars_daily"]).filter("close < 0").count("*").fetchall()[0][0] > 50
+    assert rows(engine.queries()[name](spark, falling).toPandas()) == rows(con.sql(engine.oracle_sql()[name]).df())
+
+
+def test_position_of_a_ratio_to_zero():
+    close = np.array([1.0, -1.0] * 10 + [3.0, 5.0, 0.0, 0.0] + [2.0] * 30)
+    m = agreement.position_matrix(close, [2], np.float64)[0]
+    assert np.isnan(m[:20]).all() and not np.isnan(m[20:]).any() and (m[20:24] >= 0).all() and m[-1] == 0.5
