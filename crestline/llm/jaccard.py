@@ -17,7 +17,8 @@ in one unit; there group pairs are filtered by size and by position, then member
 expanded and verified on their whole sets.  A pair that is already connected is not
 verified, and only edges of a spanning forest leave a unit, so a group of n near copies
 makes n rows, not n squared.  A unit above ``UNIT_SHINGLES`` is split in blocks, and each
-pair of blocks is a task: no pair is lost, and no task holds more than two blocks.
+pair of blocks is a task: no pair is lost, and no task holds more than two blocks.  Many
+blocks are verified in passes, each of which leaves its links alone on disk.
 
 Defined cases: null and empty texts and texts of white space have an empty set and link
 with nothing; a text of fewer than k words has its whole sequence as its one shingle;
@@ -42,6 +43,8 @@ from .store import cut, drop, free_name, numbered
 
 #: Shingles of all classes in one unit, or in one block of a split unit (320 kB): small, so that the tasks of a large unit are many and alike.
 UNIT_SHINGLES = 40_000
+#: Copies of the sets of all units that are on disk at once while units are verified.
+COPIES_AT_ONCE = 2
 
 
 def _prefix_length(n: int, num: int, den: int) -> int:
@@ -248,7 +251,10 @@ def _verified_edges(texts: DataFrame, classes: DataFrame, k: int, num: int, den:
     block = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
     placed = work.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select("cid", "comp", "unit", "skipped", "prefix", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    placed = placed.join(sets, "cid")
+    # a class goes to as many tasks as its unit has blocks: in passes, so that the copies on disk at once do not grow with the blocks
+    once, copies = work.agg(F.sum("n"), F.sum(F.col("n") * F.col("blocks"))).first()
+    passes = -(-(copies or 0) // (COPIES_AT_ONCE * (once or 1))) or 1
+    at = F.pmod(F.xxhash64("unit", "i", "j"), F.lit(passes))
 
     def verify(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by("cid")
@@ -263,9 +269,12 @@ def _verified_edges(texts: DataFrame, classes: DataFrame, k: int, num: int, den:
         real = root != cid
         return pa.table({"a": pa.array(cid[real]), "b": pa.array(root[real])})
 
-    edges = cut(placed.groupBy("unit", "i", "j").applyInArrow(verify, "a long, b long"), "verified-links")
+    edges = near
+    for p in range(passes):
+        part = (placed.where(at == p) if passes > 1 else placed).join(sets, "cid")
+        edges = edges.unionByName(cut(part.groupBy("unit", "i", "j").applyInArrow(verify, "a long, b long"), "verified-links"))
     drop(sets, survivors, labelled, sharing, least, open_tokens, open_sharing, units, work)
-    return components(near.unionByName(edges), "links").where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return components(edges, "links").where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 
 def _star_pairs(survivors: DataFrame, sharing: DataFrame) -> DataFrame:

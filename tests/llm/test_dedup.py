@@ -1,6 +1,8 @@
 import collections
 import hashlib
+import pathlib
 import random
+import time
 from fractions import Fraction
 
 import numpy as np
@@ -93,6 +95,36 @@ def test_split_units_lose_nothing(spark, monkeypatch):
     assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == expect
 
 
+def test_split_units_go_in_passes(spark, monkeypatch):
+    """Copies of sets for many blocks are not on disk all at once."""
+    docs = cases.table(spark, n=30, seed=4)
+    expect, _ = brute_components(rows_of(docs), 4, 85, 100)
+    names, real = [], jaccard.cut
+    monkeypatch.setattr(jaccard, "cut", lambda df, name: names.append(name) or real(df, name))
+    monkeypatch.setattr(jaccard, "UNIT_SHINGLES", 100)
+    got = jaccard.jaccard_components(docs, k=4, num=85, den=100).collect()
+    assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == expect
+    assert names.count("verified-links") > 1
+
+
+@pytest.mark.parametrize("before", [None, "false"])
+def test_shuffle_files_go_with_the_write(spark, before):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    dirs = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    found = lambda: {str(f) for d in dirs for f in pathlib.Path(d).rglob("shuffle_*.data")}
+    (spark.conf.set(key, before) if before else spark.conf.unset(key))
+    try:
+        old = found()
+        out = store.cut(spark.range(50_000).groupBy(F.xxhash64("id").alias("h")).count(), "shuffled")
+        for _ in range(50):
+            if not found() - old:
+                break
+            time.sleep(0.1)
+        assert not found() - old and out.count() == 50_000 and spark.conf.get(key, None) == before
+    finally:
+        spark.conf.unset(key)
+
+
 def test_near_stage_and_empty(spark):
     docs = cases.table(spark, extra=True)
     left = jaccard.drop_near_duplicates(docs)
