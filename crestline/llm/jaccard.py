@@ -16,9 +16,17 @@ done.  Groups that share one of the other shingles meet, by components of the sh
 in one unit; there group pairs are filtered by size and by position, then members are
 expanded and verified on their whole sets.  A pair that is already connected is not
 verified, and only edges of a spanning forest leave a unit, so a group of n near copies
-makes n rows, not n squared.  A unit above ``UNIT_SHINGLES`` is split in blocks, and each
-pair of blocks is a task: no pair is lost, and no task holds more than two blocks.  Many
-blocks are verified in passes, each of which leaves its links alone on disk.
+makes n rows, not n squared.
+
+A unit above ``UNIT_SHINGLES`` is narrowed first, in rounds that are linear in its
+shingles.  All shingles of its classes are counted, and those that only connected classes
+have come first in the order; a class whose prefix they fill is done.  A place in a prefix
+stays if another class, not connected, has the same shingle and both could still link
+by their sizes and what is left of them from there on.  The likeliest such partner is verified, so
+the next round starts from larger components, and what stays meets in smaller units.
+Only a unit that rounds do not narrow any more is split in blocks, and each pair of blocks
+is a task: no pair is lost, and no task holds more than two blocks.  Many blocks are
+verified in passes, each of which leaves its links alone on disk.
 
 Defined cases: null and empty texts and texts of white space have an empty set and link
 with nothing; a text of fewer than k words has its whole sequence as its one shingle;
@@ -43,6 +51,10 @@ from .store import cut, drop, free_name, numbered
 
 #: Shingles of all classes in one unit, or in one block of a split unit (320 kB): small, so that the tasks of a large unit are many and alike.
 UNIT_SHINGLES = 40_000
+#: A round goes on to the next if it leaves at most this share of the copies that blocks would take.
+NARROWS = 0.9
+#: Places of prefixes in one task, on average: all that share a shingle are in one.
+PLACES = 4_000
 #: Copies of the sets of all units that are on disk at once while units are verified.
 COPIES_AT_ONCE = 2
 
@@ -245,9 +257,19 @@ def _verified_edges(texts: DataFrame, classes: DataFrame, k: int, num: int, den:
     # a group that shares open shingles with no other is a unit of its own: its members need not all link with its first
     unit_of = open_sharing.select(F.col("a").alias("grp")).distinct().join(meet, "grp", "left").withColumn("unit", F.coalesce("unit", "grp"))
     units = cut(labelled.join(unit_of, "grp").drop("grp", "row"), "prefix-units")
-    blocks = F.ceil(F.sum("n") / UNIT_SHINGLES).cast("int")
-    sizes = units.groupBy("unit").agg(blocks.alias("blocks"))
-    work = cut(units.join(sizes, "unit"), "unit-classes")
+    work, copies = _sized(units)
+    small, made = [], [units, work]
+    while copies:
+        small.append(work.where("blocks = 1"))
+        links, units = _narrowed(work.where("blocks > 1"), sets, num, den)
+        near = near.unionByName(links)
+        before = copies
+        work, copies = _sized(units)
+        made += [units, work]
+        if copies > NARROWS * before:
+            break
+    for part in small:
+        work = work.unionByName(part)
     block = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
     placed = work.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select("cid", "comp", "unit", "skipped", "prefix", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
@@ -273,10 +295,102 @@ def _verified_edges(texts: DataFrame, classes: DataFrame, k: int, num: int, den:
     for p in range(passes):
         part = (placed.where(at == p) if passes > 1 else placed).join(sets, "cid")
         edges = edges.unionByName(cut(part.groupBy("unit", "i", "j").applyInArrow(verify, "a long, b long"), "verified-links"))
-    drop(sets, survivors, labelled, sharing, least, open_tokens, open_sharing, units, work)
+    drop(sets, survivors, labelled, sharing, least, open_tokens, open_sharing, *made)
     return components(edges, "links").where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 
+def _sized(units: DataFrame) -> tuple[DataFrame, int]:
+    """``units`` with the number of blocks of each unit, and the shingles of all copies that the blocks of split units take."""
+    blocks = F.ceil(F.sum("n") / UNIT_SHINGLES).cast("int")
+    work = cut(units.join(units.groupBy("unit").agg(blocks.alias("blocks")), "unit"), "unit-classes")
+    return work, work.where("blocks > 1").agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0
+
+
+def _partners(unit: np.ndarray, token: np.ndarray, comp: np.ndarray, n: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places that stay, the likeliest partner of each): two places of one shingle are partners if each class is at most as large as the other reaches, and of another component."""
+    rows = np.lexsort((n, token, unit))
+    while True:
+        u, t, c, size, r = unit[rows], token[rows], comp[rows], n[rows], reach[rows]
+        at = np.arange(len(rows))
+        new = np.ones(len(rows), bool)
+        new[1:] = (u[1:] != u[:-1]) | (t[1:] != t[:-1])
+        shingle = np.cumsum(new) - 1
+        wide = int(max(size.max(initial=0), r.max(initial=0))) + 1
+        # of the classes up to this size: which reaches most, and which most of those not in that one's component
+        first = _running_argmax(shingle, r, at)
+        lead = c[first]
+        turn = new.copy()
+        turn[1:] |= lead[1:] != lead[:-1]
+        other = np.where(c != lead, at, -1)
+        led = turn & ~new
+        other[led] = first[np.flatnonzero(led) - 1]
+        second = _running_argmax(np.cumsum(turn) - 1, np.where(other >= 0, r[other], -1), other)
+        last = np.searchsorted(shingle * wide + size, shingle * wide + r, side="right") - 1
+        some = last >= np.flatnonzero(new)[shingle]
+        best = np.where(c[first[last]] != c, first[last], second[last])
+        stays = some & (best >= 0) & (r[best] >= size)
+        if stays.all():
+            return rows, rows[best]
+        rows = rows[stays]
+
+
+def _running_argmax(part: np.ndarray, value: np.ndarray, name: np.ndarray) -> np.ndarray:
+    """Name of the largest value up to here within each part (parts ascend; values are -1 at least)."""
+    key = part * (int(value.max(initial=0)) + 2) + value + 1
+    most = np.maximum.accumulate(key)
+    rises = np.ones(len(key), bool)
+    rises[1:] = most[1:] > most[:-1]
+    return name[np.maximum.accumulate(np.where(rises, np.arange(len(key)), 0))]
+
+
+def _narrowed(large: DataFrame, sets: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(links, units): links (a, b) found on the way, and the classes of ``large`` that can still link with one of another component, in new units."""
+
+    def as_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column("set")]
+            offsets = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
+            tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("cid", "unit", "comp", "n")), tokens], ["cid", "unit", "comp", "n", "tokens"])
+
+    whole = large.select("cid", "unit", "comp", "n").join(sets, "cid").mapInArrow(as_lists, "cid long, unit long, comp long, n long, tokens array<long>")
+    whole = cut(whole, "narrow-sets")
+    exploded = whole.select("cid", "unit", "comp", "n", F.explode("tokens").alias("token"))
+    counted = exploded.groupBy("unit", "token").agg(F.count(F.lit(1)).alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    open_tokens = cut(counted.where("lo < hi").select("unit", "token", "df"), "narrow-open-shingles")
+    ranked = exploded.join(open_tokens, ["unit", "token"]).groupBy("cid", "unit", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("common"))
+    left = F.expr(f"n + 1 - (n * {num} + {den - 1}) div {den} - skipped").cast("int")
+    prefix = F.transform(F.slice("common", F.lit(1), F.col("left")), lambda s: s["token"])
+    lists = ranked.withColumn("skipped", (F.col("n") - F.size("common")).cast("int")).withColumn("left", left).where("left > 0")
+    lists = cut(lists.select("cid", "unit", "comp", "n", "skipped", prefix.alias("prefix")), "narrow-prefixes")
+    drop(whole, open_tokens)
+    # the largest set that can link with this one if they have nothing in common before this place
+    reach = F.expr(f"((n - skipped - place) * {num + den} - n * {num}) div {num}")
+    places = lists.select("unit", "comp", "cid", "n", "skipped", F.posexplode("prefix").alias("place", "token"))
+    places = places.select("unit", "token", "comp", "cid", "n", reach.alias("reach")).where("reach > 0")
+    parts = (lists.agg(F.sum(F.size("prefix"))).first()[0] or 0) // PLACES + 1
+
+    def partners(table: pa.Table) -> pa.Table:
+        stays, other = _partners(*(table.column(c).to_numpy() for c in ("unit", "token", "comp", "n", "reach")))
+        kept = table.select(["unit", "token", "cid"]).take(pa.array(stays))
+        return kept.append_column("other", table.column("cid").take(pa.array(other)))
+
+    dealt = places.groupBy(F.pmod(F.xxhash64("unit", "token"), F.lit(parts)).alias("part"))
+    stay = cut(dealt.applyInArrow(partners, "unit long, token long, cid long, other long"), "narrow-places")
+    pairs = cut(stay.select(F.greatest("cid", "other").alias("a"), F.least("cid", "other").alias("b")).distinct(), "partner-pairs")
+    links = cut(_linked_pairs(pairs, sets, num, den), "verified-links")
+    known = lists.where("cid <> comp").select(F.col("cid").alias("a"), F.col("comp").alias("b"))
+    roots = components(links.unionByName(known), "partners").select(F.col("node").alias("cid"), "root")
+    lists_now = lists.drop("unit").join(roots, "cid", "left").withColumn("comp", F.coalesce("root", "comp")).drop("root")
+    of_place = cut(stay.drop("other").join(lists_now.select("cid", "comp"), "cid"), "narrow-comps")
+    met = of_place.groupBy("unit", "token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("cid").alias("least")).where("lo < hi")
+    sharing = cut(of_place.join(met.select("unit", "token", "least"), ["unit", "token"]).select(F.col("cid").alias("a"), F.col("least").alias("b")).distinct(), "narrow-sharing")
+    meet = components(sharing, "narrow-units").select(F.col("node").alias("cid"), F.col("root").alias("unit"))
+    units = cut(lists_now.join(meet, "cid"), "narrow-classes")
+    drop(lists, stay, pairs, of_place, sharing)
+    return links, units
+
+
 def _star_pairs(survivors: DataFrame, sharing: DataFrame) -> DataFrame:
     """(a, b): each class with the first of its group, and the first of each group with that of the group it shares most shingles with, of those that come first for a shingle."""
     firsts = survivors.groupBy("grp").agg(F.min("cid").alias("first"))

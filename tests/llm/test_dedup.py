@@ -107,6 +107,63 @@ def test_split_units_go_in_passes(spark, monkeypatch):
     assert names.count("verified-links") > 1
 
 
+def near_band(n: int):
+    """Texts of 100 words in two bands about one base: a third are near it, the others 0.7 to 0.85 alike, few of them linked."""
+    rng = random.Random(7)
+    base = [f"v{i}" for i in range(100)]
+    rows = []
+    for i in range(n):
+        words = list(base)
+        for x in range(1 if i % 3 == 0 else 3):
+            words[rng.randrange(100)] = f"u{rng.randrange(12)}" if i % 2 else f"o{i}x{x}"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+def test_large_units_are_narrowed_before_they_are_split(spark, monkeypatch):
+    """Near copies that do not all link share their prefixes: copies for blocks do not grow with the square of the group."""
+    rows, copies, real = near_band(300), [], jaccard.cut
+
+    def cut(df, name):
+        out = real(df, name)
+        if name == "unit-classes":
+            copies.append(out.agg(F.sum("blocks")).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(jaccard, "cut", cut)
+    monkeypatch.setattr(jaccard, "UNIT_SHINGLES", 1500)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    expect, _ = brute_components(rows, 4, 85, 100)
+    got = jaccard.jaccard_components(docs, k=4, num=85, den=100).collect()
+    assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == expect
+    assert copies[0] > 5 * copies[-1], copies
+
+
+def test_blocks_go_in_passes_where_rounds_do_not_narrow(spark, monkeypatch):
+    rows, passes = near_band(60), []
+    monkeypatch.setattr(jaccard, "UNIT_SHINGLES", 600)
+    monkeypatch.setattr(jaccard, "_narrowed", lambda large, sets, num, den: (jaccard.cut(large.select(F.col("cid").alias("a"), F.col("cid").alias("b")).limit(0), "no-links"), jaccard.cut(large.drop("blocks"), "as-before")))
+    real = jaccard.cut
+    monkeypatch.setattr(jaccard, "cut", lambda df, name: passes.append(name) or real(df, name))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    expect, _ = brute_components(rows, 4, 85, 100)
+    got = jaccard.jaccard_components(docs, k=4, num=85, den=100).collect()
+    assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == expect
+    assert passes.count("verified-links") > 1
+
+
+def test_partners_against_pairs():
+    rng = np.random.default_rng(1)
+    for m in rng.integers(0, 25, 500).tolist():
+        unit, token, comp, n, reach = (rng.integers(lo, hi, m) for lo, hi in ((0, 2), (0, 3), (0, 5), (1, 12), (1, 14)))
+        fits = lambda i, j: unit[i] == unit[j] and token[i] == token[j] and comp[i] != comp[j] and n[j] <= reach[i] and n[i] <= reach[j]  # noqa: B023, E731
+        stay, before = set(range(m)), None
+        while stay != before:
+            before, stay = stay, {i for i in stay if any(fits(i, j) for j in stay)}
+        rows, others = jaccard._partners(unit, token, comp, n, reach)
+        assert sorted(rows.tolist()) == sorted(stay) and all(fits(i, j) for i, j in zip(rows, others, strict=True))
+
+
 @pytest.mark.parametrize("before", [None, "false"])
 def test_shuffle_files_go_with_the_write(spark, before):
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
